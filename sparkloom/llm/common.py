@@ -12,6 +12,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 MAX64 = U64(0xFFFFFFFFFFFFFFFF)
@@ -21,6 +22,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -124,7 +128,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batches, max_bytes: int = 2 << 20, text: str = "text"):
+def chunks(batches, max_bytes: int = 1 << 20, text: str = "text"):
     """(record batch slice, bytes, offsets) of whole documents with about max_bytes of text."""
     for batch in batches:
         if not batch.num_rows:
@@ -154,6 +158,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id as long, and text; rows without doc_id go. Arrow batches are held to BATCH_BYTES, unless the session says otherwise, so that long texts don't fill a worker."""
+    if not docs.sparkSession.conf.get(BATCH_SETTING, None):
+        docs.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binaries, chunks, mix, seeds, shingles, stored, width, word_hashes
+from .common import U64, binaries, chunks, mix, seeds, shingles, stored, texts, width, word_hashes
 from .components import components
 
 COORDINATES = 32
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     have one; rows that repeat a doc_id count once; rows without doc_id are dropped; an
     empty table gives an empty one. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = texts(docs)
     signed = stored(docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, s1 long, s2 long, sig binary").dropDuplicates(["doc_id"]))
     of = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     of = stored(of)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX64, U64, Rolling, binaries, chunks, mix, width
+from .common import MAX64, U64, Rolling, binaries, chunks, mix, texts, width
 
 LENGTH = 200
 GRAM = 64
@@ -321,7 +321,7 @@ def merged(spans: list, n: int) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    plain = texts(docs)
     spans = repeated_spans(plain, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return plain.repartition(width(docs.sparkSession), "doc_id").join(spans, "doc_id", "left")
 
@@ -329,9 +329,9 @@ def _with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def removal(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed runs (array of start, end) of each document.
 
-    Null texts are empty and lose nothing, as do texts of under ``length`` bytes; rows
-    that repeat a doc_id are taken for the same document and must not occur; rows
-    without doc_id are dropped; an empty table gives an empty one; other columns are
+    Null texts are empty and lose nothing, as do texts of under ``length`` bytes; equal
+    rows count as copies, so that each loses all (rows with one doc_id but other texts
+    lose the spans of both); rows without doc_id are dropped; an empty table gives an empty one; other columns are
     ignored. Strings in the same document count; matches never cross documents.
     """
 

@@ -7,8 +7,9 @@ COORDINATES, so it must meet in one of the first COORDINATES - MATCHES + 1 coord
 (prefix), and only those are posted. In a posting list, collisions are counted between
 a leader and the members left; members that pass leave the list (skip), so a list of n
 near copies gives n pairs, not n * n. Pairs are confirmed on full sets. A second pass
-then compares, within each list, only members of different components, so that no link
-is lost to a leader that failed.
+compares members of different components with central leaders, and a third, by an exact
+prefix filter on the shingles that components share, finds what is left, so that no
+link is lost to a leader that failed.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ MATCHES = 13
 PREFIX = COORDINATES - MATCHES + 1
 #: Ids of candidate documents are broadcast up to this many (16 MB), else joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Posting lists beyond this are dealt anew inside their task.
+LONG = 256
+#: Stretch of a list that is searched at once for unsettled members.
+EARLY = 8192
 
 
 def _sets(b, off, k):
@@ -102,25 +107,37 @@ def _runs(batches, first: bool, final: bool = True):
     def alike(i, rest):
         return rest[(sig[rest] == sig[i]).sum(1, dtype=np.int64) >= MATCHES]
 
-    def leaders(lo, hi, stay):
-        """Members that pass against a leader leave the list."""
-        left = np.arange(lo, hi)
+    def leaders(at, stay):
+        """Members that pass against a leader leave the list; the most central lead first."""
+        best = np.zeros(len(at), np.int64)
+        for j in range(COORDINATES):
+            c = sig[at, j]
+            best += c == np.bincount(c, minlength=256).argmax()
+        left = at[np.argsort(-best, kind="stable")]
         while len(left) > 1:
             i, left = left[0], left[1:]
             hits = alike(i, left)
             if len(hits):
-                note(i, hits)
+                if not first:
+                    other = hits[comp[hits] != comp[i]]
+                    note(i, other)
+                else:
+                    note(i, hits)
                 stay[hits] = False
-                left = left[~np.isin(left, hits, assume_unique=True)]
-
-    def across(lo, hi):
-        """Pairs of different components; the largest one's members are compared with the others only."""
-        at = np.arange(lo, hi)
-        names, which, n = np.unique(comp[lo:hi], return_inverse=True, return_counts=True)
-        at = at[np.argsort(n[which], kind="stable")]
-        for x in range(len(at) - int(n.max())):
-            rest = at[x + 1 :]
-            note(at[x], alike(at[x], rest[comp[rest] != comp[at[x]]]))
+                left = left[stay[left]]
+
+    def pairs(lo, hi, stay):
+        """A long list is dealt anew by two more coordinates at a time, of which a similar pair shares one pair almost surely."""
+        if hi - lo <= LONG:
+            leaders(np.arange(lo, hi), stay)
+            return
+        for j in range(0, COORDINATES, 2):
+            at = np.arange(lo, hi)[stay[lo:hi]]
+            two = sig[at, j].astype(np.int64) << 8 | sig[at, j + 1]
+            order = np.argsort(two, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], two[order][1:] != two[order][:-1], [True]]))
+            for x, y in zip(cut[:-1][np.diff(cut) > 1].tolist(), cut[1:][np.diff(cut) > 1].tolist()):
+                leaders(at[order[x:y]], stay)
 
     def flush(end):
         stay = np.ones(end, bool)
@@ -129,10 +146,8 @@ def _runs(batches, first: bool, final: bool = True):
             ends = np.concatenate([starts[1:], [end]])
             many = ends - starts > 1
             for lo, hi in zip(starts[many].tolist(), ends[many].tolist()):
-                if first:
-                    leaders(lo, hi, stay)
-                elif (comp[lo:hi] != comp[lo]).any():
-                    across(lo, hi)
+                if first or (comp[lo:hi] != comp[lo]).any():
+                    pairs(lo, hi, stay)
         a = np.array(found, np.int64).reshape(-1, 2)
         found.clear()
         if final:
@@ -168,14 +183,72 @@ def _runs(batches, first: bool, final: bool = True):
 _POSTING = "key long, doc_id long, component long, bytes binary"
 
 
+def _unsettled(batches):
+    """Members of posting lists (sorted by key) that may be similar to a member of another component."""
+    rows: list = []
+
+    def mark(ids, comp, sig):
+        hit = np.zeros(len(ids), bool)
+        _, which, n = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(n) < 2:
+            return hit
+        most = n.argmax()
+        for x in np.flatnonzero(which != most).tolist():
+            for lo in range(0, len(ids), EARLY):  # a very long list stops at the first stretch with a hit, and takes part as a whole
+                y = lo + np.flatnonzero((which[lo : lo + EARLY] != which[x]) & ((sig[lo : lo + EARLY] == sig[x]).sum(1, dtype=np.int64) >= MATCHES))
+                if len(y):
+                    hit[x] = True
+                    hit[y] = True
+                    if len(ids) > EARLY:
+                        hit[which == most] = True
+                        break
+        return hit
+
+    def flush(end):
+        key, ids, comp, sig = (x[:end] for x in rows)
+        hit = np.zeros(end, bool)
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if end else np.zeros(0, np.int64)
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if hi - lo < 2:
+                continue
+            if hi - lo <= LONG:
+                hit[lo:hi] |= mark(ids[lo:hi], comp[lo:hi], sig[lo:hi])
+                continue
+            for j in range(0, COORDINATES, 2):
+                two = sig[lo:hi, j].astype(np.int64) << 8 | sig[lo:hi, j + 1]
+                order = lo + np.argsort(two, kind="stable")
+                sub = np.flatnonzero(np.concatenate([[True], np.diff(two[order - lo]) != 0, [True]]))
+                for x, y in zip(sub[:-1][np.diff(sub) > 1].tolist(), sub[1:][np.diff(sub) > 1].tolist()):
+                    at = order[x:y]
+                    hit[at] |= mark(ids[at], comp[at], sig[at])
+        a = np.unique(np.stack([ids[hit], comp[hit]], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["doc_id", "component"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(c).to_numpy() for c in ("key", "doc_id", "component")]
+        new.append(np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8).reshape(-1, COORDINATES))
+        rows = [np.concatenate(x) for x in zip(rows, new)] if rows else new
+        end = int(np.searchsorted(rows[0], rows[0][-1]))  # the last list may go on
+        yield flush(end)
+        rows = [x[end:] for x in rows]
+    if rows:
+        yield flush(len(rows[0]))
+
+
+def _mixed(posted: DataFrame) -> DataFrame:
+    """Keys that hold more than one component."""
+    return posted.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+
+
 def _candidates(classes: DataFrame, first: bool) -> DataFrame:
     n = width(classes.sparkSession)
     posted = classes.mapInArrow(_postings, _POSTING)
     if first:
         posted = posted.sortWithinPartitions("key", "doc_id").mapInArrow(lambda it: _runs(it, True, False), _POSTING)
     else:
-        mixed = posted.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        posted = posted.join(mixed, "key")
+        posted = posted.join(_mixed(posted), "key")
     lists = posted.repartition(n, "key").sortWithinPartitions("key", "doc_id")
     return stored(lists.mapInArrow(lambda it: _runs(it, first), "a long, b long").distinct())
 
@@ -211,6 +284,70 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _rest(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Candidate pairs of different components that may still be similar, by an exact prefix filter.
+
+    Only documents that agree with another component's in MATCHES coordinates take part. Of a
+    document's shingles, only those that another component holds too can count, so it
+    needs percent of its size among them, and any partner meets it in one of the rarest
+    (shared - needed + 1). Where a pair meets first, both must still hold the overlap that
+    their sizes need (``most`` bounds the other's size).
+    """
+    posted = classes.mapInArrow(_postings, _POSTING)
+    lists = posted.join(_mixed(posted), "key").repartition(width(docs.sparkSession), "key").sortWithinPartitions("key", "doc_id")
+    ids = stored(lists.mapInArrow(_unsettled, "doc_id long, component long").distinct())
+    few = ids.count() <= BROADCAST_IDS
+
+    def items(batches):
+        for rows, b, off in chunks(batches):
+            sets = _sets(b, off, k)
+            n = np.array([len(x) for x in sets], np.int64)
+            h = np.concatenate(sets).view(np.int64)
+            cols = [rows.column("doc_id").to_numpy(), rows.column("component").to_numpy(), n]
+            yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(np.repeat(c, n)) for c in cols)], ["item", "doc_id", "component", "size"])
+
+    sets = docs.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", "text", "component").mapInArrow(items, "item long, doc_id long, component long, size long")
+    sets = stored(sets)
+    shared = sets.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("item", "df")
+    needed = F.ceil(F.col("size") * percent / 100)
+    own = sets.join(shared, "item").groupBy("doc_id", "component", "size").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
+    kept = own.where(F.col("n") >= needed).withColumn("items", F.expr("slice(items, 1, cast(n as int) - cast(ceil(size * %d / 100) as int) + 1)" % percent))
+    lists = kept.select(F.posexplode("items").alias("at", "i"), "doc_id", "component", "size", "n").select(F.col("i.item").alias("key"), "doc_id", "component", "size", F.expr(f"floor((n - at) * {100 + percent} / {percent}) - size").alias("most"))
+
+    def meet(batches):
+        held = None
+        names = ("key", "doc_id", "component", "size", "most")
+
+        def lists_of(rows, last):
+            key = rows[0]
+            end = len(key) if last else int(np.searchsorted(key, key[-1]))
+            found = set()
+            cut = np.flatnonzero(np.concatenate([[True], key[1:end] != key[: end - 1], [True]])) if end else []
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                _, ids, comp, size, most = (x[lo:hi] for x in rows)
+                if hi - lo < 2 or (comp == comp[0]).all():
+                    continue
+                _, which, n = np.unique(comp, return_inverse=True, return_counts=True)
+                for x in np.flatnonzero((which != n.argmax()) & (most >= size.min())).tolist():
+                    y = np.flatnonzero((comp != comp[x]) & (size <= most[x]) & (most >= size[x]))
+                    for j in ids[y].tolist():
+                        found.add((min(j, int(ids[x])), max(j, int(ids[x]))))
+            a = np.array(sorted(found), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"]), [x[end:] for x in rows]
+
+        for batch in batches:
+            if batch.num_rows:
+                rows = [batch.column(c).to_numpy() for c in names]
+                held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+                out, held = lists_of(held, False)
+                yield out
+        if held is not None and len(held[0]):
+            yield lists_of(held, True)[0]
+
+    n = width(docs.sparkSession)
+    return stored(lists.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(meet, "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
@@ -225,12 +362,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     classes = signed.join(of.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig", F.col("doc_id").alias("component"))
     links = stored(_confirmed(docs, _candidates(classes, True), k, percent))
     comp = stored(components(links))
-    again = classes.drop("component").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "sig", F.coalesce("component", "doc_id").alias("component"))
-    more = _candidates(again, False)
-    if not more.isEmpty():
-        more = stored(_confirmed(docs, more, k, percent))
-        if not more.isEmpty():
-            comp = stored(components(links.union(more)))
+
+    def labelled():
+        return classes.drop("component").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "sig", F.coalesce("component", "doc_id").alias("component"))
+
+    for more in (lambda: _candidates(labelled(), False), lambda: _rest(docs, labelled(), k, percent)):
+        pairs = more()
+        if not pairs.isEmpty():
+            links = links.union(stored(_confirmed(docs, pairs, k, percent)))
+            comp = stored(components(links))
     rep = signed.select("doc_id", "n_shingles", "s1", "s2").join(of, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     out = rep.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -6,6 +6,7 @@ documents, so the memory of a task is bounded by ``max_bytes`` plus one document
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -182,8 +183,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, and outlives executors."""
+    """df written to the shared folder and read again: cuts lineage, and outlives executors.
+
+    Afterwards the driver collects its garbage, so that Spark drops shuffle files of
+    which nothing is left; long operators would else keep those of all their steps.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

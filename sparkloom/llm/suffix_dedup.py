@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX64, U64, Rolling, binaries, chunks, mix, texts, width
+from .common import MAX64, U64, Rolling, binaries, chunks, mix, stored, texts, width
 
 LENGTH = 200
 GRAM = 64
@@ -98,136 +98,109 @@ def _anchors(length: int, gram: int):
     return run
 
 
-def suffix_array(t: np.ndarray, depth: int) -> tuple[list[np.ndarray], np.ndarray, int]:
-    """Ranks of all suffixes by their first 8, 16, 32 ... bytes up to ``depth`` or more, the first 8 bytes as a number, and the last rank's depth."""
-    n = len(t)
-    padded = np.concatenate([t, np.zeros(8, np.uint8)])
-    head = np.zeros(n, U64)
-    for j in range(8):
-        head = (head << U64(8)) | padded[j : j + n].astype(U64)
-
-    def ranks(keys):
-        order = np.argsort(keys)
-        s = keys[order]
-        r = np.empty(n, np.int64)
-        r[order] = np.cumsum(np.concatenate([[0], (s[1:] != s[:-1]).astype(np.int64)])) + 1
-        return r
-
-    levels, d = [ranks(head)], 8
-    while d < depth:
-        r = levels[-1]
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - d] = r[d:]
-        levels.append(ranks((r.astype(U64) << U64(32)) | ahead.astype(U64)))
-        d *= 2
-    return levels, head, d
-
-
-def _common(levels, head, depth, a, b, limit) -> np.ndarray:
-    """Lengths of the common prefixes of suffixes a and b, no more than limit, by descent through the ranks."""
-    n = len(head)
-    got = np.zeros(len(a), np.int64)
-    d = depth
-    for r in reversed(levels):
-        for _ in range(2 if d == depth else 1):
-            x, y = a + got, b + got
-            ok = (x < n) & (y < n) & (got < limit)
-            ok[ok] = r[x[ok]] == r[y[ok]]
-            got[ok] += d
-        d //= 2
-    x, y = a + got, b + got
-    ok = np.flatnonzero((x < n) & (y < n) & (got < limit))
-    if len(ok):
-        z = head[x[ok]] ^ head[y[ok]]
-        left = np.zeros(len(ok), np.int64)
-        alive = np.ones(len(ok), bool)
-        for j in range(8):
-            alive &= (z >> U64(56 - 8 * j)) & U64(255) == 0
-            left += alive
-        got[ok] += left
-    return np.minimum(got, limit)
-
-
 def maximal_repeats(t: np.ndarray, starts: np.ndarray, room: np.ndarray, left: np.ndarray, least: int):
     """Maximal repeats of at least ``least`` bytes among the given suffixes of t.
 
-    ``room``: how far each suffix may go; ``left``: the byte before it, or a number of
-    its own (negative) where it has none. Yields (length, suffix indices): all
-    occurrences of a string that can't be extended to the left.
+    ``room``: how far each suffix may go (at least ``least``); ``left``: the byte before
+    it, or a number of its own (negative) where it has none. Yields (length, suffix
+    indices): all occurrences of a string that can't be extended to the left.
+
+    No interval of a shorter prefix is wanted, so suffixes are dealt into buckets by a
+    hash of ``least`` bytes, in any order; a bucket with one left neighbour holds no
+    maximal repeat; the others are sorted as text and scanned.
     """
-    longest = int(room.max()) if len(room) else 0
-    levels, head, depth = suffix_array(t, max(least, min(longest, 4 * least)))
-    ok = np.flatnonzero(room >= least)
-    order = ok[np.argsort(levels[-1][starts[ok]], kind="stable")]
-    if len(order) < 2:
+    if len(starts) < 2:
+        return
+    key = Rolling(t).spans(starts, starts + least)
+    order = np.argsort(key)
+    key, lf = key[order], left[order]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    begin = cut[:-1]
+    diverse = np.minimum.reduceat(lf, begin) != np.maximum.reduceat(lf, begin)
+    raw = t.tobytes()
+    place, reach = starts.tolist(), (starts + room).tolist()
+    sorted_: list[int] = []
+    ends = [0]
+    for lo, hi in zip(begin[diverse].tolist(), cut[1:][diverse].tolist()):
+        sorted_ += sorted(order[lo:hi].tolist(), key=lambda i: raw[place[i] : reach[i]])
+        ends.append(len(sorted_))
+    if not sorted_:
         return
-    s, r, lf = starts[order], room[order], left[order]
-    lcp = _common(levels, head, depth, s[:-1], s[1:], np.minimum(r[:-1], r[1:]))
-    long = lcp >= least
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], long.astype(np.int8), [0]])))
-    begin, end = edge[::2], edge[1::2]  # runs: suffixes begin .. end
-    # runs of two need no stack
-    two = begin[end - begin == 1]
-    for i in two[lf[two] != lf[two + 1]].tolist():
-        yield int(lcp[i]), order[i : i + 2]
-    for lo, hi in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
-        # changes[i]: left neighbours of suffixes lo .. lo+i that differ from the one before; an interval is diverse if it has any within
-        changes = np.concatenate([[0], np.cumsum(lf[lo + 1 : hi + 1] != lf[lo:hi])]).tolist()
+    sa = np.array(sorted_)
+    common = np.zeros(len(sa) - 1, np.int64)
+    for lo in range(0, len(common), 4096):  # common prefixes of neighbours, from the bytes
+        x, y = sa[lo : lo + 4096][: len(common) - lo], sa[lo + 1 : lo + 4097]
+        most = np.minimum(room[x], room[y])
+        step = np.arange(int(most.max()))
+        other = t[np.minimum(starts[x][:, None] + step, len(t) - 1)] != t[np.minimum(starts[y][:, None] + step, len(t) - 1)]
+        other = np.concatenate([other, np.ones((len(x), 1), bool)], 1)
+        common[lo : lo + 4096] = np.minimum(other.argmax(1), most)
+    lf = left[sa]
+    for lo, hi in zip(ends, ends[1:]):
+        # changes[i]: left neighbours up to suffix lo + i that differ from the one before; an interval is diverse if it has any within
+        changes = np.concatenate([[0], np.cumsum(lf[lo + 1 : hi] != lf[lo : hi - 1])]).tolist()
         stack: list[tuple[int, int]] = []  # (common prefix, left end)
-        values = lcp[lo:hi].tolist()
-        for i, v in enumerate([*values, 0]):
+        for i, v in enumerate([*common[lo : hi - 1].tolist(), 0]):
             at = i
             while stack and stack[-1][0] > v:
                 size, at = stack.pop()
-                if changes[i] != changes[at]:
-                    yield size, order[lo + at : lo + i + 1]
+                if size >= least and changes[i] != changes[at]:
+                    yield size, sa[lo + at : lo + i + 1]
             if v and (not stack or stack[-1][0] < v):
                 stack.append((v, at))
 
 
-def _arrays(length: int):
-    def solve(h, ids, pos, base, text, seg, lots, out):
+def _arrays(length: int, gram: int):
+    def owned(text, seg, base, pos):
+        """First and last window start (in text) of each segment of which the anchor is the leftmost minimum."""
+        h = Rolling(text).grams(gram)
+        h = np.concatenate([h, np.full(gram, MAX64)])
+        at = seg[:-1] + pos - base
+        first = np.maximum(seg[:-1], at - (length - gram))
+        last = np.minimum(at, seg[1:] - length)
+        step = np.arange(1, length - gram + 1)
+        for lo in range(0, len(at), 4096):
+            a, f, z = at[lo : lo + 4096], first[lo : lo + 4096], seg[1:][lo : lo + 4096]
+            x = a[:, None] - step
+            less = (h[np.maximum(x, 0)] <= h[a][:, None]) & (x >= f[:, None])
+            first[lo : lo + 4096] = np.where(less.any(1), a - less.argmax(1), f)
+            x = a[:, None] + step
+            less = (h[np.minimum(x, len(h) - 1)] < h[a][:, None]) & (x + gram <= z[:, None])
+            last[lo : lo + 4096] = np.where(less.any(1), np.minimum(last[lo : lo + 4096], a + less.argmax(1) - (length - gram)), last[lo : lo + 4096])
+        return first, last
+
+    def solve(ids, pos, base, text, seg, lots, out):
         """Repeats among segments: appends (kind, hash, hash, doc_id, start, end)."""
-        n = np.diff(seg)
-        room = np.repeat(seg[1:], n) - np.arange(seg[-1])
+        first, last = owned(text, seg, base, pos)
+        n = np.maximum(last - first + 1, 0)
         which = np.repeat(np.arange(len(n)), n)
-        absolute = np.repeat(base, n) + np.arange(seg[-1]) - np.repeat(seg[:-1], n)
-        at = np.flatnonzero(room >= length)
-        # overlapping segments of a document hold the same suffix; the longest one stays
-        order = np.lexsort((-room[at], absolute[at], ids[which[at]]))
-        at = at[order]
-        doc, place = ids[which[at]], absolute[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
-        at, doc, place = at[new], doc[new], place[new]
-        start = at == seg[which[at]]
-        left = np.where(start, -1 - np.arange(len(at)), text[np.maximum(at - 1, 0)].astype(np.int64))
+        before = np.concatenate([[0], np.cumsum(n)])[:-1]
+        at = np.arange(len(which)) - before[which] + first[which]
+        place = base[which] + at - seg[which]
+        left = np.where(at == first[which], -1 - np.arange(len(at)), text[np.maximum(at - 1, 0)].astype(np.int64)) if len(at) else at
         reach = np.zeros(len(at), np.int64)
-        for size, found in maximal_repeats(text, at, room[at], left, length):
+        for size, found in maximal_repeats(text, at, seg[which + 1] - at, left, length):
             reach[found] = np.maximum(reach[found], size)
         hit = np.flatnonzero(reach)
         z = np.zeros(len(hit), np.int64)
-        out.append((z, z, z, doc[hit], place[hit], place[hit] + reach[hit]))
-        if lots.any():  # windows that other lots of the gram may hold
-            mine = lots[which]
-            w = np.flatnonzero(mine & (room >= length))
-            roll, salted = Rolling(text), Rolling(text[::-1])
-            n_all = len(text)
-            x = roll.spans(w, w + length).view(np.int64)
-            y = salted.spans(n_all - w - length, n_all - w).view(np.int64)
+        out.append((z, z, z, ids[which[hit]], place[hit], place[hit] + reach[hit]))
+        w = np.flatnonzero(lots[which])
+        if len(w):  # windows that other lots of the gram may hold
+            end = len(text)
+            x = Rolling(text).spans(at[w], at[w] + length).view(np.int64)
+            y = Rolling(text[::-1]).spans(end - at[w] - length, end - at[w]).view(np.int64)
             _, one = np.unique(x, return_index=True)
-            x, y, w = x[one], y[one], w[one]
-            out.append((np.ones(len(w), np.int64), x, y, ids[which[w]], absolute[w], absolute[w] + length))
+            out.append((np.ones(len(one), np.int64), x[one], y[one], ids[which[w[one]]], place[w[one]], place[w[one]] + length))
 
     def run(batches):
         held: list = []
         size = 0
 
         def flush():
-            h, ids, pos, base, raw, lots = (np.concatenate([x[i] for x in held]) if i != 4 else b"".join(t for x in held for t in x[4]) for i in range(6))
+            _, ids, pos, base, raw, lots = (np.concatenate([x[i] for x in held]) if i != 4 else b"".join(t for x in held for t in x[4]) for i in range(6))
             seg = np.concatenate([[0], np.cumsum([len(t) for x in held for t in x[4]])]).astype(np.int64)
             out: list = []
-            solve(h, ids, pos, base, np.frombuffer(raw, np.uint8), seg, lots, out)
+            solve(ids, pos, base, np.frombuffer(raw, np.uint8), seg, lots, out)
             cols = [np.concatenate([x[i] for x in out]) for i in range(6)]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["kind", "x", "y", "doc_id", "start", "end"])
 
@@ -289,10 +262,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     n = width(docs.sparkSession)
     found = docs.mapInArrow(_anchors(length, gram), "h long, c long, doc_id long, pos int, n int, more binary")
     grams = found.groupBy("h").agg(F.sum("n").alias("times"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("times > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
-    again = found.join(grams, "h")
+    again = stored(found.join(grams, "h"))
     alike = again.where("not mixed").select("doc_id", "pos", "more")
     mixed = again.where("mixed").select("h", "c", "doc_id", "pos", "n", "more")
-    kinds = mixed.groupBy("h", "c").agg(F.sum("n").alias("times"), F.min(F.struct("doc_id", "pos")).alias("one"))
+    kinds = stored(mixed.groupBy("h", "c").agg(F.sum("n").alias("times"), F.min(F.struct("doc_id", "pos")).alias("one")))
     twice = mixed.join(kinds.where("times > 1").select("h", "c"), ["h", "c"], "left_semi").select("doc_id", "pos", "more")
     whole = alike.union(twice).mapInArrow(_spread(length, gram), "doc_id long, start long, end long")
     lots = kinds.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
@@ -300,7 +273,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("h", "lot", "lots", "pos")).alias("marks"))
     placed = docs.repartition(n, "doc_id").join(marks, "doc_id").select("doc_id", "text", "marks")
     segments = placed.mapInArrow(_segments(length, gram), "h long, lot int, lots int, doc_id long, pos int, base long, segment binary")
-    solved = segments.repartition(n, "h", "lot").sortWithinPartitions("h", "lot").mapInArrow(_arrays(length), "kind long, x long, y long, doc_id long, start long, end long")
+    solved = segments.repartition(n, "h", "lot").sortWithinPartitions("h", "lot").mapInArrow(_arrays(length, gram), "kind long, x long, y long, doc_id long, start long, end long")
     inside = solved.where("kind = 0").select("doc_id", "start", "end")
     windows = solved.where("kind = 1")
     shared = windows.groupBy("x", "y").agg(F.min(F.struct("doc_id", "start")).alias("lo"), F.max(F.struct("doc_id", "start")).alias("hi")).where("lo <> hi").select("x", "y")

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, texts
+from .common import by_bytes, stored, texts
 from .quality import held_out
 
 #: Texts that the model is fitted on, at most (those with the smallest hashes).
@@ -24,7 +24,7 @@ UNLABELLED = 8_000
 #: A feature must be in so many of the positives.
 SEEN = 4
 HEADS = (4, 5, 6)
-FEATURES = 40_000
+FEATURES = 20_000
 STEPS = 300
 
 _WORD = regex.compile(r"\w+")
@@ -36,29 +36,14 @@ def features(text: str) -> set[str]:
     return found | {w[:n] + "*" for w in found if len(w) > 3 for n in HEADS if len(w) >= n}
 
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> tuple[float, dict[str, float]]:
-    """Bias and weights. Without positives: the prior, and no weights."""
+def fit(names: list[str], positive: list, unlabelled: list, prior: float) -> tuple[float, dict[str, float]]:
+    """Bias and weights; texts are given as indices into ``names``. Without positives or names: the prior, and no weights."""
     start = float(np.log(max(prior, 1e-3) / (1 - min(max(prior, 1e-3), 0.999))))
-    if not positive:
-        return start, {}
-    count: dict[str, int] = {}
-    other: dict[str, int] = {}
-    for s in positive:
-        for f in s:
-            count[f] = count.get(f, 0) + 1
-    for s in unlabelled:
-        for f in s:
-            if f in count:
-                other[f] = other.get(f, 0) + 1
-    # features by how much more frequent they are in positives
-    share = {f: (n / len(positive)) / ((other.get(f, 0) + 1) / (len(unlabelled) + 1)) for f, n in count.items() if n >= SEEN}
-    names = sorted((f for f in share if share[f] > 1.5), key=lambda f: (-share[f] * np.log1p(count[f]), f))[:FEATURES]
-    index = {f: i for i, f in enumerate(names)}
-    if not names:
+    if not positive or not names:
         return start, {}
 
     def matrix(rows):
-        at = [np.array([index[f] for f in r if f in index], np.int64) for r in rows]
+        at = [np.asarray(r, np.int64) for r in rows]
         ptr = np.repeat(np.arange(len(at)), [len(a) for a in at])
         return ptr, (np.concatenate(at) if at else np.zeros(0, np.int64)), len(at)
 
@@ -83,7 +68,7 @@ def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> t
         m1 = 0.9 * m1 + 0.1 * g
         m2 = 0.999 * m2 + 0.001 * g * g
         w = w - 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    return float(w[-1]), {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}
+    return float(w[-1]), {f: float(w[i]) for i, f in enumerate(names) if abs(w[i]) > 1e-3}
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED):
@@ -96,13 +81,24 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     rest = rest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
     chosen = pos.withColumn("y", F.lit(1)).union(rest.withColumn("y", F.lit(0)))
 
-    def held(batches):  # features, not texts, go to the driver
+    def held(batches):
         for rows, batch in by_bytes(batches):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), pa.array([sorted(features(t)) for t in batch], pa.list_(pa.string()))], ["doc_id", "y", "f"])
 
-    sample = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(held, "doc_id long, y int, f array<string>")
-    found = sorted((r.doc_id, r.y, r.f) for r in sample.toLocalIterator())
-    return fit([set(f) for _, y, f in found if y], [set(f) for _, y, f in found if not y], prior)
+    sample = stored(texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(held, "doc_id long, y int, f array<string>"))
+    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # features by how much more frequent they are in positives
+    counts = sample.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("u")).where(F.col("p") >= SEEN)
+    share = (F.col("p") / max(sizes.get(1, 0), 1)) / ((F.col("u") + 1) / (sizes.get(0, 0) + 1))
+    names = [r.f for r in counts.withColumn("share", share).where("share > 1.5").orderBy(F.desc(F.col("share") * F.log1p("p")), "f").limit(FEATURES).collect()]
+    index = {f: i for i, f in enumerate(names)}
+
+    def indexed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([[index[f] for f in r if f in index] for r in batch.column("f").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "y", "f"])
+
+    found = sorted((r.doc_id, r.y, r.f) for r in sample.mapInArrow(indexed, "doc_id long, y int, f array<int>").collect())
+    return fit(names, [f for _, y, f in found if y], [f for _, y, f in found if not y], prior)
 
 
 def scored(docs: DataFrame, labels: DataFrame, model=None) -> DataFrame:

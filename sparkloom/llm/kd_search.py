@@ -94,7 +94,7 @@ def quantised(vectors: DataFrame) -> DataFrame:
 def _cell(k: int):
     schema = "query_id long, vec_id long, score long"
 
-    def run(key, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(points) and len(queries):
             for dim, part in points.groupby(points["v"].map(len)):

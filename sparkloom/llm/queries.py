@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kd_search, minhash, quality, suffix_dedup, token_counts, toxicity
+from . import bpe, decontamination, katz, kd_search, minhash, quality, suffix_dedup, token_counts, toxicity
 from .common import documents
 
 
@@ -39,10 +39,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.marked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(documents(spark, sf_dir))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -56,7 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_search, op2_suffix_dedup, op3_bpe, op6_token_counts, op8_minhash, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_kd_search, op2_suffix_dedup, op3_bpe, op4_decontamination, op6_token_counts, op7_katz, op8_minhash, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -374,3 +374,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     rep = signed.select("doc_id", "n_shingles", "s1", "s2").join(of, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     out = rep.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """One row of ``docs`` (all columns) for each group, that with the smallest doc_id; rows without doc_id go."""
+    kept = stored(near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("__kept")))
+    return docs.join(kept, docs["doc_id"].cast("long") == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])

@@ -29,26 +29,40 @@ def _share(text: Column, n: Column, chars: str) -> Column:
     return (n - F.length(F.translate(text, chars, ""))) / n
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of each text; nulls are empty texts."""
+def _prepared(docs: DataFrame, *keep) -> DataFrame:
+    """The columns to keep, and __t (text, nulls as empty), __chars and __w (lower-case words)."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", t.alias("t"), F.length(t).alias("chars"), F.filter(F.split(F.lower(t), r"[\s]+"), lambda w: w != "").alias("w"))
-    n = F.greatest(F.col("chars"), F.lit(1))
-    words = F.greatest(F.size("w"), F.lit(1))
-    return d.select(
-        "doc_id",
-        F.log1p("chars").alias("log_chars"),
-        F.log1p(F.size("w")).alias("log_words"),
-        (F.col("chars") / words).alias("word_length"),
-        (F.size(F.array_distinct("w")) / words).alias("distinct_words"),
-        (F.size(F.array_distinct(F.transform("w", lambda w: F.substring(w, 1, 2)))) / words).alias("distinct_heads"),
-        _share(F.col("t"), n, LETTERS_UPPER).alias("upper"),
-        _share(F.col("t"), n, DIGITS).alias("digits"),
-        _share(F.col("t"), n, SYMBOLS).alias("symbols"),
-        _share(F.col("t"), n, "!?").alias("shouts"),
-        _share(F.col("t"), n, ".,;:").alias("stops"),
-        _share(F.col("t"), n, "\n").alias("lines"),
-    )
+    return docs.select(*keep, t.alias("__t"), F.length(t).alias("__chars"), F.filter(F.split(F.lower(t), r"[\s]+"), lambda w: w != "").alias("__w"))
+
+
+def _statistics() -> list[Column]:
+    t, chars, w = F.col("__t"), F.col("__chars"), F.col("__w")
+    n, words = F.greatest(chars, F.lit(1)), F.greatest(F.size(w), F.lit(1))
+    return [
+        F.log1p(chars).alias("log_chars"),
+        F.log1p(F.size(w)).alias("log_words"),
+        (chars / words).alias("word_length"),
+        (F.size(F.array_distinct(w)) / words).alias("distinct_words"),
+        (F.size(F.array_distinct(F.transform(w, lambda x: F.substring(x, 1, 2)))) / words).alias("distinct_heads"),
+        _share(t, n, LETTERS_UPPER).alias("upper"),
+        _share(t, n, DIGITS).alias("digits"),
+        _share(t, n, SYMBOLS).alias("symbols"),
+        _share(t, n, "!?").alias("shouts"),
+        _share(t, n, ".,;:").alias("stops"),
+        _share(t, n, "\n").alias("lines"),
+    ]
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and the statistics of each text."""
+    return _prepared(docs, "doc_id").select("doc_id", *_statistics())
+
+
+def accepted(docs: DataFrame, labels: DataFrame, model=None) -> DataFrame:
+    """The rows of ``docs`` (all columns) with a score of 0.5 or more; rows without doc_id go."""
+    model = model or train(docs, labels)
+    rows = docs.where("doc_id is not null")
+    return _prepared(rows, F.struct("*").alias("__row")).select("__row", *_statistics()).where(compiled(model) >= 0.5).select("__row.*")
 
 
 def _tree(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int) -> list[tuple[tuple, ...]]:

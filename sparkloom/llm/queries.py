@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, katz, kd_search, minhash, quality, suffix_dedup, token_counts, toxicity
+from . import bpe, decontamination, katz, kd_search, minhash, passages, quality, suffix_dedup, token_counts, toxicity
 from .common import documents
 
 
@@ -43,6 +43,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.marked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.marked(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
@@ -64,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_search, op2_suffix_dedup, op3_bpe, op4_decontamination, op6_token_counts, op7_katz, op8_minhash, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_kd_search, op2_suffix_dedup, op3_bpe, op4_decontamination, op5_compact_windows, op6_token_counts, op7_katz, op8_minhash, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -327,3 +327,33 @@ def removal(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     return _with_spans(docs, length, gram).select("doc_id", "text", "spans").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"
     )
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` (all columns) without the repeated bytes of its texts; n_chars, if there, is counted again.
+
+    Runs shrink to whole characters. A text that loses all stays as an empty one.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+                raw = (text or "").encode()
+                kept, at = [], 0
+                for s, e in merged(spans or [], len(raw)).tolist():
+                    while s < e and raw[s] & 0xC0 == 0x80:
+                        s += 1
+                    while e > s and e < len(raw) and raw[e] & 0xC0 == 0x80:
+                        e -= 1
+                    kept.append(raw[at:s])
+                    at = e
+                out.append(b"".join([*kept, raw[at:]]).decode())
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], ["__id", "__text"])
+
+    cut = _with_spans(docs, length, gram).select("doc_id", "text", "spans").mapInArrow(run, "__id long, __text string")
+    rest = docs.drop("text")
+    both = rest.join(cut, rest["doc_id"].cast("long") == cut["__id"])
+    cols = {"text": F.col("__text"), "n_chars": F.length("__text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return both.select(*(cols[c].alias(c) if c in cols else rest[c] for c in docs.columns))

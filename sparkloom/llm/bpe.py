@@ -22,7 +22,7 @@ from .common import by_bytes, texts
 # Fixed values of the byte-level pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces kept by a worker.
-TABLE = 600_000
+TABLE = 400_000
 
 
 def byte_letters() -> list[str]:

@@ -6,6 +6,8 @@ documents, so the memory of a task is bounded by ``max_bytes`` plus one document
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -129,6 +131,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b[off[0] : off[-1]], off - off[0]
 
 
+def trim() -> None:
+    """Gives free memory back to the system: idle Python workers would else keep what their tasks used."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches, max_bytes: int = 1 << 20, text: str = "text"):
     """(record batch slice, bytes, offsets) of whole documents with about max_bytes of text."""
     for batch in batches:
@@ -140,9 +149,11 @@ def chunks(batches, max_bytes: int = 1 << 20, text: str = "text"):
             j = max(i + 1, int(np.searchsorted(off, off[i] + max_bytes, "right")) - 1)
             yield batch.slice(i, j - i), b[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
+        del batch, b, off
+    trim()
 
 
-def by_bytes(batches, column: str = "text", max_bytes: int = 4 << 20):
+def by_bytes(batches, column: str = "text", max_bytes: int = 1 << 20):
     """(record batch slice, list of texts), nulls as empty texts."""
     for batch, _, _ in chunks(batches, max_bytes, column):
         yield batch, ["" if t is None else t for t in batch.column(column).to_pylist()]

@@ -26,7 +26,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -138,7 +138,7 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def chunks(batches, max_bytes: int = 1 << 20, text: str = "text"):
+def chunks(batches, max_bytes: int = 1 << 19, text: str = "text"):
     """(record batch slice, bytes, offsets) of whole documents with about max_bytes of text."""
     for batch in batches:
         if not batch.num_rows:

@@ -281,16 +281,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return whole.union(inside).union(outside)
 
 
+def merged_arrays(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sorted disjoint [start, end) rows of one span or more, touching ones joined."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    return np.stack([start[first], end[np.append(first[1:], len(start)) - 1]], 1)
+
+
 def merged(spans: list, n: int) -> np.ndarray:
-    """Sorted disjoint [start, end) rows, touching ones joined, cut at n."""
+    """The spans as sorted disjoint rows, cut at n."""
     if not spans:
         return np.zeros((0, 2), np.int64)
-    a = np.array([(s["start"], s["end"]) for s in spans], np.int64)
-    a = np.minimum(a[np.argsort(a[:, 0], kind="stable")], n)
-    top = np.maximum.accumulate(a[:, 1])
-    new = np.concatenate([[True], a[1:, 0] > top[:-1]])
-    first = np.flatnonzero(new)
-    return np.stack([a[first, 0], top[np.append(first[1:], len(a)) - 1]], 1)
+    a = np.minimum(np.array([(s["start"], s["end"]) for s in spans], np.int64), n)
+    return merged_arrays(a[:, 0], a[:, 1])
 
 
 def _with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:

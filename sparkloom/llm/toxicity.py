@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; all other training texts, whatever their label,
-are unlabelled. A linear model over the words and word heads that a text holds is
+Confirmed toxic texts are the positives; a sample of all training texts, without regard
+to labels, is the unlabelled set. A linear model over the words and word heads that a text holds is
 trained in numpy on the risk
     prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])
 with logistic losses. The class prior is the toxic share of the labelled training rows.
@@ -77,7 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = float(toxic) / n if n else 0.0
     pos = known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id")
-    rest = texts(docs).select("doc_id").where(~held_out(F.col("doc_id"), 5, 0)).join(known.where("y = 1"), "doc_id", "left_anti").distinct()
+    rest = texts(docs).select("doc_id").where(~held_out(F.col("doc_id"), 5, 0)).distinct()
     rest = rest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
     chosen = pos.withColumn("y", F.lit(1)).union(rest.withColumn("y", F.lit(0)))
 

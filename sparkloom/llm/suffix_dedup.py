@@ -241,17 +241,16 @@ def _segments(length: int, gram: int):
     return run
 
 
-def _spread(length: int, gram: int):
-    """Repeated surroundings as spans."""
+def _further(length: int, gram: int):
+    """Spans around the further places of a surrounding that repeats within its document."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, pos = batch.column("doc_id").to_numpy(), batch.column("pos").to_numpy().astype(np.int64)
             more = batch.column("more").to_pylist()
-            n = np.array([len(m) // 4 for m in more])
-            ids, pos = np.concatenate([ids, np.repeat(ids, n)]), np.concatenate([pos, np.frombuffer(b"".join(more), np.int32)])
+            ids = np.repeat(batch.column("doc_id").to_numpy(), [len(m) // 4 for m in more])
+            pos = np.frombuffer(b"".join(more), np.int32).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.maximum(pos - (length - gram), 0)), pa.array(pos + length)], ["doc_id", "start", "end"])
 
     return run
@@ -263,11 +262,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     found = docs.mapInArrow(_anchors(length, gram), "h long, c long, doc_id long, pos int, n int, more binary")
     grams = found.groupBy("h").agg(F.sum("n").alias("times"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("times > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
     again = stored(found.join(grams, "h"))
-    alike = again.where("not mixed").select("doc_id", "pos", "more")
+    alike = again.where("not mixed").select("doc_id", "pos", "n", "more")
     mixed = again.where("mixed").select("h", "c", "doc_id", "pos", "n", "more")
     kinds = stored(mixed.groupBy("h", "c").agg(F.sum("n").alias("times"), F.min(F.struct("doc_id", "pos")).alias("one")))
-    twice = mixed.join(kinds.where("times > 1").select("h", "c"), ["h", "c"], "left_semi").select("doc_id", "pos", "more")
-    whole = alike.union(twice).mapInArrow(_spread(length, gram), "doc_id long, start long, end long")
+    twice = mixed.join(kinds.where("times > 1").select("h", "c"), ["h", "c"], "left_semi").select("doc_id", "pos", "n", "more")
+    whole = alike.union(twice)
+    further = whole.where("n > 1").select("doc_id", "more").mapInArrow(_further(length, gram), "doc_id long, start long, end long")
+    start = F.greatest(F.col("pos") - (length - gram), F.lit(0))
+    whole = whole.select("doc_id", start.cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("end")).union(further)
     lots = kinds.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
     marks = kinds.join(lots, "h").select("h", (F.pmod(F.xxhash64("c"), F.col("lots"))).cast("int").alias("lot"), "lots", "one.doc_id", "one.pos")
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("h", "lot", "lots", "pos")).alias("marks"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import by_bytes, texts
+from .common import by_bytes, texts, trimmed
 
 # Fixed values of the byte-level pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -168,15 +168,6 @@ class Codec:
         return out
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
-
-
 def digests(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids`` the ids themselves, of each text.
 
@@ -186,7 +177,7 @@ def digests(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """
 
     def run(batches):
-        one = codec(path)
+        one = Codec(path)  # of this task alone: workers live on, and would else keep the tables beside later stages
         for rows, batch in by_bytes(batches):
             done = one.run(batch)
             cols = [
@@ -199,4 +190,4 @@ def digests(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
                 cols.append(pa.array([np.array(i.split(","), np.int32) if i else np.zeros(0, np.int32) for i, _, _ in done], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else ""))
+    return texts(docs).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else ""))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binaries, chunks, mix, seeds, shingles, stored, texts, width, word_hashes
+from .common import U64, binaries, chunks, mix, seeds, shingles, stored, texts, trimmed, width, word_hashes
 from .components import components
 
 COORDINATES = 32
@@ -250,7 +250,7 @@ def _candidates(classes: DataFrame, first: bool) -> DataFrame:
     else:
         posted = posted.join(_mixed(posted), "key")
     lists = posted.repartition(n, "key").sortWithinPartitions("key", "doc_id")
-    return stored(lists.mapInArrow(lambda it: _runs(it, first), "a long, b long").distinct())
+    return stored(lists.mapInArrow(trimmed(lambda it: _runs(it, first)), "a long, b long").distinct())
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -281,7 +281,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
 
     x = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(trimmed(check), "a long, b long")
 
 
 def _rest(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -295,7 +295,7 @@ def _rest(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
     """
     posted = classes.mapInArrow(_postings, _POSTING)
     lists = posted.join(_mixed(posted), "key").repartition(width(docs.sparkSession), "key").sortWithinPartitions("key", "doc_id")
-    ids = stored(lists.mapInArrow(_unsettled, "doc_id long, component long").distinct())
+    ids = stored(lists.mapInArrow(trimmed(_unsettled), "doc_id long, component long").distinct())
     few = ids.count() <= BROADCAST_IDS
 
     def items(batches):
@@ -345,7 +345,7 @@ def _rest(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
             yield lists_of(held, True)[0]
 
     n = width(docs.sparkSession)
-    return stored(lists.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(meet, "a long, b long").distinct())
+    return stored(lists.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(trimmed(meet), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX64, U64, Rolling, binaries, chunks, mix, stored, texts, width
+from .common import MAX64, U64, Rolling, binaries, chunks, mix, stored, texts, trimmed, width
 
 LENGTH = 200
 GRAM = 64
@@ -267,15 +267,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     kinds = stored(mixed.groupBy("h", "c").agg(F.sum("n").alias("times"), F.min(F.struct("doc_id", "pos")).alias("one")))
     twice = mixed.join(kinds.where("times > 1").select("h", "c"), ["h", "c"], "left_semi").select("doc_id", "pos", "n", "more")
     whole = alike.union(twice)
-    further = whole.where("n > 1").select("doc_id", "more").mapInArrow(_further(length, gram), "doc_id long, start long, end long")
+    further = whole.where("n > 1").select("doc_id", "more").mapInArrow(trimmed(_further(length, gram)), "doc_id long, start long, end long")
     start = F.greatest(F.col("pos") - (length - gram), F.lit(0))
     whole = whole.select("doc_id", start.cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("end")).union(further)
     lots = kinds.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
     marks = kinds.join(lots, "h").select("h", (F.pmod(F.xxhash64("c"), F.col("lots"))).cast("int").alias("lot"), "lots", "one.doc_id", "one.pos")
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("h", "lot", "lots", "pos")).alias("marks"))
     placed = docs.repartition(n, "doc_id").join(marks, "doc_id").select("doc_id", "text", "marks")
-    segments = placed.mapInArrow(_segments(length, gram), "h long, lot int, lots int, doc_id long, pos int, base long, segment binary")
-    solved = segments.repartition(n, "h", "lot").sortWithinPartitions("h", "lot").mapInArrow(_arrays(length, gram), "kind long, x long, y long, doc_id long, start long, end long")
+    segments = placed.mapInArrow(trimmed(_segments(length, gram)), "h long, lot int, lots int, doc_id long, pos int, base long, segment binary")
+    solved = segments.repartition(n, "h", "lot").sortWithinPartitions("h", "lot").mapInArrow(trimmed(_arrays(length, gram)), "kind long, x long, y long, doc_id long, start long, end long")
     inside = solved.where("kind = 0").select("doc_id", "start", "end")
     windows = solved.where("kind = 1")
     shared = windows.groupBy("x", "y").agg(F.min(F.struct("doc_id", "start")).alias("lo"), F.max(F.struct("doc_id", "start")).alias("hi")).where("lo <> hi").select("x", "y")
@@ -358,7 +358,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], ["__id", "__text"])
 
-    cut = _with_spans(docs, length, gram).select("doc_id", "text", "spans").mapInArrow(run, "__id long, __text string")
+    cut = _with_spans(docs, length, gram).select("doc_id", "text", "spans").mapInArrow(trimmed(run), "__id long, __text string")
     rest = docs.drop("text")
     both = rest.join(cut, rest["doc_id"].cast("long") == cut["__id"])
     cols = {"text": F.col("__text"), "n_chars": F.length("__text").cast(dict(docs.dtypes).get("n_chars", "long"))}

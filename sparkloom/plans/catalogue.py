@@ -17,7 +17,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Runs sql over the tables it names; they are bound as arguments, so no view is left behind."""
     used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
-    bound = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(used)})\b", r"\1 {\2}", sql)
+    bound = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(used)})\b", r"\1 {\2}", sql) if used else sql
     return spark.sql(bound, **{t: table(spark, sf_dir, t) for t in used if f"{{{t}}}" in bound})
 
 
@@ -39,7 +39,6 @@ add("join_left", "SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOI
 add("join_semi", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
 add("join_anti", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 add("join_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
-add("join_range", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 10 MINUTES")
 add("join_scalar_subquery", "SELECT round(sum(l_extendedprice), 2) AS total FROM lineitem l JOIN part ON p_partkey = l_partkey WHERE l_quantity < (SELECT 0.5 * avg(l_quantity) FROM lineitem x WHERE x.l_partkey = p_partkey)")
 add("join_contains", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 add(
@@ -81,3 +80,19 @@ add("scalar_levenshtein", "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_
 add("scalar_url", "SELECT page_id, parse_url(url, 'HOST') AS host FROM pages", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages")
 # Time windows.
 add("time_tumbling", "SELECT w.start AS start, event_type, count(*) AS n FROM (SELECT window(ts, '1 hour') AS w, event_type FROM events) GROUP BY w.start, event_type", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+# Further forms of the above.
+add("pipe_syntax", "FROM customer |> WHERE c_acctbal > 0 |> AGGREGATE count(*) AS n GROUP BY c_mktsegment", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment")
+add("recursive_counter", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 10) SELECT n FROM t")
+add("join_lateral", "SELECT c_custkey, x.n FROM customer, LATERAL (SELECT count(*) AS n FROM orders WHERE o_custkey = c_custkey) x")
+add("agg_filter", "SELECT c_mktsegment, count(*) FILTER (WHERE c_acctbal > 0) AS n FROM customer GROUP BY ALL")
+add("agg_grouping_id", "SELECT l_returnflag, l_linestatus, grouping_id() AS g, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", "SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus) AS g, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+add("agg_kurtosis", "SELECT c_mktsegment, round(kurtosis(c_acctbal), 4) AS k FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, round(kurtosis_pop(c_acctbal), 4) AS k FROM customer GROUP BY c_mktsegment")
+add("agg_bools", "SELECT c_mktsegment, bool_and(c_acctbal > 0) AS every, bool_or(c_acctbal > 9000) AS some FROM customer GROUP BY c_mktsegment")
+add("agg_copies", "SELECT md5(text) AS digest, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1")
+add("window_shares", "SELECT c_custkey, round(percent_rank() OVER w, 6) AS p, round(cume_dist() OVER w, 6) AS c FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey)")
+add("window_lead", "SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations")
+add("scalar_math", "SELECT p_partkey, round(sqrt(p_retailprice), 4) AS s, round(ln(p_retailprice), 6) AS l, floor(p_retailprice) AS f, ceil(p_retailprice) AS c, power(p_size, 2) AS p, abs(-p_size) AS a FROM part", "SELECT p_partkey, round(sqrt(p_retailprice), 4) AS s, round(ln(p_retailprice), 6) AS l, floor(p_retailprice)::BIGINT AS f, ceil(p_retailprice)::BIGINT AS c, power(p_size, 2) AS p, abs(-p_size) AS a FROM part")
+add("scalar_arrays", "SELECT vec_id, array_max(embedding) AS most, size(embedding) AS n, size(filter(embedding, x -> x > 0.25)) AS large FROM embeddings", "SELECT vec_id, list_max(embedding) AS most, len(embedding)::INTEGER AS n, len(list_filter(embedding, lambda x: x > 0.25))::INTEGER AS large FROM embeddings")
+add("scalar_digests", "SELECT doc_id, md5(text) AS m, sha2(text, 256) AS s FROM documents", "SELECT doc_id, md5(text) AS m, sha256(text) AS s FROM documents")
+add("scalar_calendar", "SELECT o_orderkey, last_day(o_orderdate) AS e, dayofyear(o_orderdate) AS d, o_orderdate + INTERVAL 1 MONTH AS m FROM orders", "SELECT o_orderkey, last_day(o_orderdate) AS e, dayofyear(o_orderdate)::INTEGER AS d, o_orderdate + INTERVAL 1 MONTH AS m FROM orders")
+add("scalar_conditions", "SELECT c_custkey, coalesce(nullif(c_nationkey, 3), -1) AS n, greatest(c_acctbal, 0.0D) AS g, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'none' END AS c FROM customer", "SELECT c_custkey, coalesce(nullif(c_nationkey, 3), -1) AS n, greatest(c_acctbal, 0.0::DOUBLE) AS g, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'none' END AS c FROM customer")

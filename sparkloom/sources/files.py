@@ -12,7 +12,7 @@ OPTIONS: dict[str, dict[str, str]] = {
     "parquet": {},
     "orc": {},
     "json": {"ignoreNullFields": "false"},
-    "csv": {"header": "true", "nullValue": "\\N", "emptyValue": "", "escape": '"', "multiLine": "true"},
+    "csv": {"header": "true", "nullValue": "\\N", "escape": '"', "multiLine": "true"},
     "xml": {"rowTag": "row", "rootTag": "rows"},
     "text": {},
 }

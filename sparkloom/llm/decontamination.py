@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks over SPAN tokens ignore some positions, so that seeds survive substituted
-tokens. Benchmark seeds are joined with the seeds of all training windows; a Bloom
+Fixed masks ignore some positions, so that seeds survive substituted tokens: wherever
+the substitutions of an overlap lie, one of the masks hits it. Benchmark seeds are joined with the seeds of all training windows; a Bloom
 filter of a fixed size, made from the benchmark, keeps windows without a chance from
 the join. Around each hit the two texts are laid side by side: a stretch of
 WINDOW tokens (a shorter benchmark text: all of it) with at least SHARE of them equal
@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from .common import U64, Rolling, chunks, mix, seeds, stored, texts
 
 # The masks, 1 for a token that counts, 0 for one that may differ.
-MASKS = ("11111111", "110110110011", "1011001101011", "111000011111")
+# Together they hit each pattern of SHARE equal in LEAST to WINDOW tokens.
+MASKS = ("11111", "110111", "101111", "1101011", "1001111", "1110011", "11100101", "10011011")
+#: Texts of fewer tokens overlap with nothing.
+LEAST = 8
 #: Overlaps are judged on so many tokens, and this share of them must be equal.
 WINDOW = 20
 SHARE = 0.75
@@ -75,6 +78,7 @@ def _seed_rows(ids, h, ptr, bloom=None):
     last = np.repeat(ptr[1:], np.diff(ptr))
     which = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
     for _, at, seed in spaced(h, ptr):
+        at, seed = (x[(last - first)[at] >= LEAST] for x in (at, seed)) if len(at) else (at, seed)
         if bloom is not None and len(at):
             ok = (bloom[_bits(seed) >> 3] >> (_bits(seed) & 7) & 1).astype(bool)
             ok[ok] = (bloom[_more_bits(seed[ok]) >> 3] >> (_more_bits(seed[ok]) & 7) & 1).astype(bool)
@@ -113,7 +117,7 @@ def _checked(batches):
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id: each document and the benchmark items of which it holds an overlap, once.
 
-    Null, empty and short texts (under the shortest mask's tokens) overlap with nothing;
+    Null, empty and short texts (under LEAST tokens) overlap with nothing;
     repeated rows change nothing; rows without an id are dropped; an empty table on
     either side gives an empty one; other columns, alike-named ones too, are ignored.
     """

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from sparkloom.llm import decontamination
+from sparkloom.llm import decontamination, passages
 
 from .test_operators import frame
 
@@ -44,3 +44,17 @@ def test_decontamination_of_substituted_items(spark):
     assert 0 < sum(map(bool, want.values())) < len(docs)
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     assert {x.doc_id: x.item_ids for x in decontamination.marked(frame(spark, [" ".join(w) for w in docs]), bench).collect()} == want
+
+
+def found(spark, docs):
+    return {x.doc_id for x in passages.marked(frame(spark, [" ".join(w) for w in docs])).collect() if x.n_passages}
+
+
+def test_repetitive_passages(spark):
+    """A passage of ten words said six times, in other surroundings."""
+    r = random.Random(13)
+    docs = []
+    for _ in range(40):
+        part = [word(r) for _ in range(10)] * 6
+        docs += [[word(r) for _ in range(70)] + part + [word(r) for _ in range(70)] for _ in range(2)]
+    assert found(spark, docs) == set(range(len(docs)))

@@ -50,6 +50,21 @@ def found(spark, docs):
     return {x.doc_id for x in passages.marked(frame(spark, [" ".join(w) for w in docs])).collect() if x.n_passages}
 
 
+def test_passages_of_hot_values(spark, monkeypatch):
+    """Pairs of near passages in unrelated surroundings, with each value hot and one second minimum only."""
+    r = random.Random(11)
+    docs = []
+    for _ in range(60):
+        part = [word(r) for _ in range(60)]
+        for k in range(2):
+            other = list(part)
+            other[30] = word(r)
+            docs.append([word(r) for _ in range(60)] + other + [word(r) for _ in range(60)])
+    monkeypatch.setattr(passages, "LOT", 1)
+    monkeypatch.setattr(passages, "SECOND", 1)
+    assert found(spark, docs) == set(range(len(docs)))
+
+
 def test_near_passages_are_all_found(spark):
     """300 pairs of near passages at similarity 0.78 over all, 0.8 in the best 50 words."""
     r = random.Random(12)

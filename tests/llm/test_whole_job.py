@@ -85,3 +85,15 @@ def test_repetitive_passages(spark):
         part = [word(r) for _ in range(10)] * 6
         docs += [[word(r) for _ in range(70)] + part + [word(r) for _ in range(70)] for _ in range(2)]
     assert found(spark, docs) == set(range(len(docs)))
+
+
+def test_passages_of_members_let_go(spark, monkeypatch):
+    """Of three passages the middle one resembles both others, which don't resemble each other; with HELD at 2 it may be let go before the third comes."""
+    docs = []
+    for k in range(40):
+        line = [f"w{k}x{i}" for i in range(62)]
+        docs += [line[a : a + 50] for a in (0, 6, 12)]
+    monkeypatch.setattr(passages, "LOT", 1)
+    monkeypatch.setattr(passages, "SECOND", 64)
+    monkeypatch.setattr(passages, "HELD", 2)
+    assert found(spark, docs) == set(range(len(docs)))

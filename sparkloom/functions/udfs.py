@@ -1,34 +1,83 @@
-"""The kinds of Python functions that Spark can call, all by Arrow batches. For what built-in functions can't say."""
+"""The kinds of Python functions that Spark can call, by Arrow batches where there is a choice. For what built-in functions can't say well."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, LongType, StringType
 
 
-@F.pandas_udf(StringType())
-def initials(names: pd.Series) -> pd.Series:
-    """First letters of the words of a name."""
-    return names.str.findall(r"\b\w").str.join("").str.upper()
+def _check(names: list[str | None]) -> list[int | None]:
+    return [None if n is None else sum(i * ord(c) for i, c in enumerate(n, 1)) % 97 for n in names]
+
+
+@F.pandas_udf(LongType())
+def check_digits(names: pd.Series) -> pd.Series:
+    """Sum of a name's code points, each times its place, modulo 97; null for null, 0 for an empty name."""
+    return pd.Series(_check([None if pd.isna(n) else n for n in names]), dtype="Int64")
+
+
+@F.arrow_udf(LongType())
+def check_digits_arrow(names: pa.Array) -> pa.Array:
+    """As check_digits, on Arrow arrays."""
+    return pa.array(_check(names.to_pylist()), pa.int64())
+
+
+@F.udf(StringType(), useArrow=True)
+def consonants(name):
+    """A name without its capital vowels, a row at a time; null for null."""
+    return None if name is None else "".join(c for c in name if c not in "AEIOU")
 
 
 @F.pandas_udf(DoubleType())
-def span(values: pd.Series) -> float:
-    """Greatest less smallest value of a group."""
-    return float(values.max() - values.min())
+def mad(values: pd.Series) -> float:
+    """Median absolute deviation from the median; it needs a group's values together, so groups must fit a task."""
+    v = values.dropna().to_numpy()
+    return float(np.median(np.abs(v - np.median(v)))) if len(v) else None
 
 
-def byte_lengths(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_bytes): UTF-8 bytes of a text column; null texts give null."""
+def palindromes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, palindromes): how many lines of a text read the same backwards; empty lines don't count, null texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_length(b.column(1)).cast(pa.int64())], [key, "n_bytes"])
+            found = [sum(x == x[::-1] and x != "" for x in (t or "").split("\n")) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], [key, "palindromes"])
+
+    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, palindromes long")
+
+
+def above_mean(events: DataFrame) -> DataFrame:
+    """(user_id, event_id, above): whether an event's value is above its user's mean. A user's values are held together."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(above=rows["value"] - rows["value"].mean() > 0)[["user_id", "event_id", "above"]]
+
+    return events.select("user_id", "event_id", "value").groupBy("user_id").applyInPandas(run, "user_id long, event_id long, above boolean")
+
+
+def orders_over(customers: DataFrame, orders: DataFrame, times: float = 10) -> DataFrame:
+    """(c_custkey, n): how many orders of a customer cost more than ``times`` the customer's balance, 0 where there are none."""
+
+    def run(c: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        price = np.sort(o["o_totalprice"].to_numpy())
+        n = [len(price) - int(np.searchsorted(price, times * b, "right")) for b in c["c_acctbal"]]
+        return pd.DataFrame({"c_custkey": c["c_custkey"], "n": n})
+
+    left = customers.select("c_custkey", "c_acctbal").groupBy("c_custkey")
+    right = orders.select(F.col("o_custkey").alias("c_custkey"), "o_totalprice").groupBy("c_custkey")
+    return left.cogroup(right).applyInPandas(run, "c_custkey long, n long")
+
+
+@F.udtf(returnType="word string, place int")
+class Words:
+    """The words of a text (cut at blanks) with their places from 1; none of a null."""
 
-    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, n_bytes long")
+    def eval(self, text: str):
+        for at, word in enumerate((text or "").split(" ") if text is not None else (), 1):
+            yield word, at

@@ -41,14 +41,37 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, columns: l
     return joined.unionByName(left.where(~there).withColumn("match", F.lit(None).cast(kind)))
 
 
+#: Each bucket size of the ladder is so many times the one before.
+STEP = 16
+RUNGS = 8
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, time: str, start: str, end: str, bucket: str) -> DataFrame:
     """Each point with each interval of the same key that holds it, both ends included.
 
-    Intervals go to every bucket that they reach into, points to one, so each pair is
-    found once. Null keys and bounds match nothing; intervals that end before they start
-    hold nothing. The key aside, column names must differ.
+    An interval goes to the rung of the ladder (bucket, STEP buckets, STEP ** 2, ...)
+    on which it reaches into STEP + 1 buckets at most, so a long one makes no long
+    list; those beyond the last rung are in one bucket of their key. A point goes to its
+    bucket on each rung that an interval uses, so each pair is found once. Null keys and
+    bounds match nothing; intervals that end before they start hold nothing. The key
+    aside, column names must differ.
     """
-    p = points.where(F.col(time).isNotNull()).select("*", F.window(time, bucket)["start"].alias("_bucket"))
-    i = intervals.where(F.col(start) <= F.col(end)).select("*", F.window(start, bucket)["start"].alias("_first"))
-    i = i.select("*", F.explode(F.sequence("_first", end, F.expr(f"INTERVAL {bucket}"))).alias("_bucket")).drop("_first")
-    return p.join(i, [key, "_bucket"]).where(F.col(time).between(F.col(start), F.col(end))).drop("_bucket")
+    size = int(points.sparkSession.range(1).select(F.expr(f"cast(unix_micros(cast(timestamp_ntz'1970-01-01 00:00:00' + INTERVAL {bucket} as timestamp)) - unix_micros(cast(timestamp_ntz'1970-01-01 00:00:00' as timestamp)) as bigint)")).first()[0])
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    i = intervals.where(F.col(start) <= F.col(end)).where(F.col(key).isNotNull())
+    length = micros(end) - micros(start)
+    rungs = max(r for r in range(1, RUNGS + 1) if r == 1 or size * STEP**r < 2**62)
+    rung = F.lit(rungs)
+    for r in range(rungs - 1, -1, -1):
+        rung = F.when(length <= size * STEP ** (r + 1), F.lit(r)).otherwise(rung)
+    i = i.withColumn("_rung", rung)
+    number = lambda c: F.expr(f"case when _rung >= {rungs} then 0L else {micros_sql(c)} div (cast(power({STEP}, least(_rung, {rungs - 1})) as bigint) * {size}L) end")
+    i = i.withColumn("_bucket", F.explode(F.sequence(number(start), number(end))))
+    used = [r[0] for r in i.select("_rung").distinct().collect()]  # RUNGS + 1 at most
+    p = points.where(F.col(time).isNotNull()).withColumn("_rung", F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumn("_bucket", number(time))
+    return p.join(i, [key, "_rung", "_bucket"]).where(F.col(time).between(F.col(start), F.col(end))).drop("_rung", "_bucket")
+
+
+def micros_sql(column: str) -> str:
+    """Microseconds of a time column, from a fixed start before any of them, so that division rounds down."""
+    return f"(unix_micros(cast({column} as timestamp)) + 62135596800000000L)"

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import udfs, vectors
 from sparkloom.operators import temporal
-from sparkloom.sources import files
+from sparkloom.sources import calendar, files
 from sparkloom.streaming import events as streams
+from sparkloom.streaming import state
 
 from .registry import query, table
 
@@ -34,6 +35,13 @@ ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') r ON l.user_id
 """
 
 
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS click FROM events")
+def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's last click so far, itself included."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return temporal.asof_join(events, events.where("event_type = 'click'"), "user_id", "ts", [F.col("event_id").alias("click")]).select("event_id", "match.click")
+
+
 @query(f"SELECT l.event_id, r.event_id AS click {_ASOF}")
 def join_asof_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asof(spark, sf_dir, None)
@@ -50,19 +58,50 @@ def function_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.dot(e, e), 4).alias("dot"), F.round(vectors.norm(e), 4).alias("norm"))
 
 
-@query("SELECT c_custkey, 'C' AS initials FROM customer")
+@query("SELECT c_custkey, list_sum(list_transform(range(1, len(c_name) + 1), lambda i: i * ascii(c_name[i])))::BIGINT % 97 AS check FROM customer")
 def udf_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", F.substring(udfs.initials("c_name"), 1, 1).alias("initials"))
+    return table(spark, sf_dir, "customer").select("c_custkey", udfs.check_digits("c_name").alias("check"))
+
+
+@query("SELECT c_custkey, list_sum(list_transform(range(1, len(c_name) + 1), lambda i: i * ascii(c_name[i])))::BIGINT % 97 AS check FROM customer")
+def udf_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", udfs.check_digits_arrow("c_name").alias("check"))
+
 
+@query("SELECT n_nationkey, regexp_replace(n_name, '[AEIOU]', '', 'g') AS short FROM nation")
+def udf_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", udfs.consonants("n_name").alias("short"))
 
-@query("SELECT c_mktsegment, round(max(c_acctbal) - min(c_acctbal), 2) AS span FROM customer GROUP BY c_mktsegment")
+
+@query("SELECT c_mktsegment, round(median(abs(c_acctbal - m)), 4) AS mad FROM customer JOIN (SELECT c_mktsegment AS s, median(c_acctbal) AS m FROM customer GROUP BY 1) ON c_mktsegment = s GROUP BY c_mktsegment")
 def udf_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.round(udfs.span("c_acctbal"), 2).alias("span"))
+    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.round(udfs.mad("c_acctbal"), 4).alias("mad"))
 
 
-@query("SELECT doc_id, strlen(text) AS n_bytes FROM documents")
+@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: x = reverse(x) AND x <> '')) AS palindromes FROM documents")
 def udf_map_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return udfs.byte_lengths(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return udfs.palindromes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("SELECT user_id, event_id, value - avg(value) OVER (PARTITION BY user_id) > 0 AS above FROM events")
+def udf_grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return udfs.above_mean(table(spark, sf_dir, "events"))
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 10 * c_acctbal GROUP BY c_custkey")
+def udf_cogrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return udfs.orders_over(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"))
+
+
+@query("SELECT p_partkey, word, n::INTEGER AS place FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word, generate_subscripts(string_split(p_type, ' '), 1) AS n FROM part)")
+def udf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    return parts.lateralJoin(udfs.Words(F.col("p_type").outer())).select("p_partkey", "word", "place")
+
+
+@query("SELECT d::DATE AS day, dayofweek(d)::INTEGER AS weekday FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1998-12-31', INTERVAL 1 DAY) t(d)")
+def source_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendar.read(spark, 1995, 1998)
 
 
 def _source(format: str, name: str, *partition_by: str) -> None:
@@ -139,3 +178,22 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = streams.source(spark, sf_dir).where("event_type = 'click'")
     return streams.appended(streams.followed(clicks, streams.source(spark, sf_dir).where("event_type <> 'click'")))
+
+
+_HOURS = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+@query(_HOURS)
+def stream_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.completed(streams.tumbling(streams.source(spark, sf_dir)))
+
+
+@query(_HOURS)
+def stream_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.updated(streams.tumbling(streams.source(spark, sf_dir)), ["start", "event_type"])
+
+
+@query("SELECT user_id, count(*) AS n, max(value) AS most FROM events GROUP BY user_id")
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's count and greatest value in state of our own; the last state of each user is the answer."""
+    return streams.updated(state.running(streams.source(spark, sf_dir)), ["user_id"])

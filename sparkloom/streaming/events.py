@@ -33,6 +33,32 @@ def appended(stream: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def _each_batch(stream: DataFrame, mode: str, path: str) -> DataFrame:
+    """Each batch's rows as a folder of its number, written over when a batch comes again after a failure."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+
+
+def completed(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """The whole result as the last batch leaves it (complete mode)."""
+    rows = _each_batch(stream, "complete", path or fresh_path(stream.sparkSession, "stream"))
+    last = rows.agg(F.max("batch").alias("last"))
+    return rows.join(F.broadcast(last), F.col("batch") == F.col("last")).drop("batch", "last")
+
+
+def updated(stream: DataFrame, keys: list[str], path: str | None = None) -> DataFrame:
+    """The latest row of each key (update mode: a batch holds the rows that it changed)."""
+    rows = _each_batch(stream, "update", path or fresh_path(stream.sparkSession, "stream"))
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("row"))
+    return newest.select(*keys, "row.*").select(*[c for c in rows.columns if c != "batch"])
+
+
 def wall(time: str) -> Column:
     """Back from an instant to what the clock showed."""
     return F.col(time).cast("timestamp_ntz")

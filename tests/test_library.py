@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import udfs, vectors
-from sparkloom.operators import temporal
-from sparkloom.sources import files
+from sparkloom.operators import temporal, text_joins
+from sparkloom.sources import calendar, files
 from sparkloom.sources.shared import fresh_path
 from sparkloom.streaming import events as streams
+from sparkloom.streaming import state
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -59,10 +60,41 @@ def test_vectors(spark):
 
 
 def test_udfs(spark):
-    d = spark.createDataFrame([(1, "ada b"), (2, ""), (3, None), (4, "é ß")], "id int, name string")
-    got = {r.id: r.i for r in d.select("id", udfs.initials("name").alias("i")).collect()}
-    assert (got[1], got[2], got[3]) == ("AB", "", None)
-    assert {r.id: r.n_bytes for r in udfs.byte_lengths(d, "id", "name").collect()} == {1: 5, 2: 0, 3: None, 4: 5}
+    d = spark.createDataFrame([(1, "ab"), (2, ""), (3, None), (4, "é")], "id int, name string")
+    for f in (udfs.check_digits, udfs.check_digits_arrow):
+        assert {r.id: r.i for r in d.select("id", f("name").alias("i")).collect()} == {1: (97 + 2 * 98) % 97, 2: 0, 3: None, 4: 233 % 97}
+    assert {r.id: r.palindromes for r in udfs.palindromes(spark.createDataFrame([(1, "aba\nab\n\nx"), (2, None)], "id int, name string"), "id", "name").collect()} == {1: 2, 2: 0}
+    v = spark.createDataFrame([(1, 1.0), (1, 4.0), (1, 9.0), (1, None), (2, None)], "k int, v double")
+    assert {r.k: r.m for r in v.groupBy("k").agg(udfs.mad("v").alias("m")).collect()} == {1: 3.0, 2: None}
+    w = d.lateralJoin(udfs.Words(F.col("name").outer())).select("id", "word", "place").collect()
+    assert sorted((r.id, r.word, r.place) for r in w) == [(1, "ab", 1), (2, "", 1), (4, "é", 1)]
+
+
+def test_containment_join(spark):
+    t = [(1, "the big red house"), (2, "a big redder house"), (3, None), (4, ""), (5, "red")]
+    p = [(10, "big red house"), (11, "big red h"), (12, "red"), (13, ""), (14, None), (15, "e big r"), (16, "x  y")]
+    got = text_joins.containment_join(spark.createDataFrame(t, "id int, text string"), spark.createDataFrame(p, "part int, text string"), "text").collect()
+    assert sorted((r.id, r.part) for r in got) == sorted((i, j) for i, x in t for j, y in p if None not in (x, y) and y in x)
+
+
+def test_custom_source(spark):
+    assert calendar.read(spark, 2023, 2024).count() == 731
+    assert calendar.read(spark, 2024, 2023).count() == 0
+
+
+def test_stream_modes(spark):
+    path = _event_files(spark, [[(1, 1, 5), (2, 1, 10)], [(3, 1, 30), (4, 2, 100)]])
+    source = lambda: streams.source(spark, path, files_per_batch=1)
+    for got in (streams.completed(streams.tumbling(source())), streams.updated(streams.tumbling(source()), ["start", "event_type"])):
+        assert {r.start: r.n for r in got.collect()} == {at(0): 3, at(60): 1}
+    assert {r.user_id: (r.n, r.most) for r in streams.updated(state.running(source()), ["user_id"]).collect()} == {1: (3, 1.0), 2: (1, 1.0)}
+
+
+def test_state_is_let_go_by_its_timer(spark):
+    day = 24 * 60
+    path = _event_files(spark, [[(1, 1, 0)], [(2, 2, 200 * day)], [(3, 2, 201 * day)], [(4, 1, 202 * day)]])
+    got = {r.user_id: r.n for r in streams.updated(state.running(streams.source(spark, path, files_per_batch=1)), ["user_id"]).collect()}
+    assert got == {1: 1, 2: 2}
 
 
 @pytest.mark.parametrize("format", ["parquet", "orc", "json", "csv"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,13 @@ from pyspark.sql import SparkSession
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; in one of our own only where the session names none, as in tests."""
+    """A new path in the folder that spark.checkpoint.dir names; in one of our own only where the session names none and all runs on this machine, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not set_before.isDefined():
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
             set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = set_before.get()

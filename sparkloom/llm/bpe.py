@@ -3,7 +3,9 @@
 The distinct pieces of a batch stand in one symbol array with links to their
 neighbours. An index maps each active pair to all its positions; ranks are applied in
 ascending order from a heap, each at all its positions, and the lists of the pairs that
-a merge makes are updated. Pieces seen before come from a bounded table.
+a merge makes are updated. Pieces seen before come from a table of bounded size.
+Vocabulary and merges stand in arrays, and pieces are encoded a slice at a time, so a
+task holds some tens of MB whatever the texts are.
 """
 
 from __future__ import annotations
@@ -17,12 +19,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import by_bytes, texts, trimmed
+from .common import by_bytes, texts, trim, trimmed
 
 # Fixed values of the byte-level pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces kept by a worker.
-TABLE = 400_000
+#: Bytes of the pieces that a task keeps, with their ids and the table's own size.
+TABLE_BYTES = 20 << 20
+#: Bytes of new pieces that are encoded at a time.
+SLICE_BYTES = 1 << 17
+#: Text that is cut into pieces at a time.
+CHUNK_BYTES = 1 << 18
+#: What a table entry takes beside its letters.
+ENTRY_BYTES = 220
 
 
 def byte_letters() -> list[str]:
@@ -43,18 +51,32 @@ class Codec:
         back = {c: bytes([b]) for b, c in enumerate(letters)}
         self.base = np.array([vocab[c] for c in letters], np.int32)
         self.merge = {}
-        self.made = []
+        made = np.zeros((len(spec["model"]["merges"]), 3), np.int32)
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merge[vocab[a] << 20 | vocab[b]] = rank
-            self.made.append((vocab[a], vocab[b], vocab[a + b]))
-        self.raw = {i: b"".join(back[c] for c in t) for t, i in vocab.items()}
+            made[rank] = vocab[a], vocab[b], vocab[a + b]
+        self.made = made
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.raw |= {i: t.encode() for t, i in self.special.items()}
+        raw = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
+        for t, i in vocab.items():
+            if t not in self.special:
+                raw[i] = b"".join(back[c] for c in t)
+        for t, i in self.special.items():
+            raw[i] = t.encode()
+        self.bytes = b"".join(raw)
+        self.cut = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)
         self.ids: dict[str, str] = {}
         self.back: dict[str, bytes] = {}  # pieces that decode to something else than themselves
+        self.size = 0
+        del spec, vocab, raw
+        trim()
+
+    def raw(self, i: int) -> bytes:
+        """What token i stands for."""
+        return self.bytes[self.cut[i] : self.cut[i + 1]]
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """Token ids of each (distinct) piece."""
@@ -93,7 +115,7 @@ class Codec:
             if rank in grown:
                 places.sort()
                 grown.discard(rank)
-            left, right, new = self.made[rank]
+            left, right, new = self.made[rank].tolist()
             for p in places:
                 q = after[p]
                 if q < 0 or sym[p] != left or sym[q] != right:
@@ -126,14 +148,21 @@ class Codec:
         out = out[live].tolist()
         return [out[a:b] for a, b in zip(kept, kept[1:])]
 
-    def _learn(self, new: set[str]) -> None:
-        new = list(new)
-        raw = self.raw.__getitem__
-        for piece, ids in zip(new, self.encode_pieces(new)):
-            self.ids[piece] = ",".join(map(str, ids))
-            back = b"".join(map(raw, ids))
-            if back != piece.encode():
-                self.back[piece] = back
+    def _learn(self, new: list[str]) -> None:
+        at = 0
+        while at < len(new):
+            end, size = at, 0
+            while end < len(new) and size < SLICE_BYTES:
+                size += len(new[end])
+                end += 1
+            part = new[at:end]
+            for piece, ids in zip(part, self.encode_pieces(part)):
+                self.ids[piece] = joined = ",".join(map(str, ids))
+                self.size += ENTRY_BYTES + len(piece) + len(joined)
+                back = b"".join(map(self.raw, ids))
+                if back != piece.encode():
+                    self.back[piece] = back
+            at = end
 
     def run(self, batch: list[str]) -> list[tuple[str, int, str]]:
         """(ids joined by commas, their number, decoded text) of each text."""
@@ -146,15 +175,11 @@ class Codec:
                 if not isinstance(x, str):
                     seen.update(x)
             cut.append(found)
-        if len(seen) > TABLE and len(batch) > 1:
-            half = len(batch) // 2
-            return self.run(batch[:half]) + self.run(batch[half:])
-        missing = seen - self.ids.keys()
-        if len(self.ids) + len(missing) > TABLE:
-            self.ids = {x: self.ids[x] for x in seen - missing}
+        if self.size > TABLE_BYTES:  # only what this batch needs stays
+            self.ids = {x: self.ids[x] for x in seen if x in self.ids}
             self.back = {x: self.back[x] for x in seen if x in self.back}
-        if missing:
-            self._learn(missing)
+            self.size = sum(ENTRY_BYTES + len(x) + len(i) for x, i in self.ids.items())
+        self._learn([x for x in seen if x not in self.ids])
         ids_of = self.ids.__getitem__
 
         def back_of(found):
@@ -163,7 +188,7 @@ class Codec:
         out = []
         for found in cut:
             ids = ",".join(str(self.special[x]) if isinstance(x, str) else ",".join(map(ids_of, x)) for x in found)
-            back = b"".join(self.raw[self.special[x]] if isinstance(x, str) else back_of(x) for x in found)
+            back = b"".join(x.encode() if isinstance(x, str) else back_of(x) for x in found)
             out.append((ids, ids.count(",") + 1 if ids else 0, back.decode("utf-8", "replace")))
         return out
 
@@ -178,7 +203,7 @@ def digests(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
 
     def run(batches):
         one = Codec(path)  # of this task alone: workers live on, and would else keep the tables beside later stages
-        for rows, batch in by_bytes(batches):
+        for rows, batch in by_bytes(batches, max_bytes=CHUNK_BYTES):
             done = one.run(batch)
             cols = [
                 rows.column("doc_id"),

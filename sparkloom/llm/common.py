@@ -9,14 +9,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import fresh_path
+
 U64 = np.uint64
 MAX64 = U64(0xFFFFFFFFFFFFFFFF)
 #: Words are separated by these bytes only: blank, and 0x09 to 0x0D.
@@ -176,6 +177,20 @@ def binaries(data: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(o), pa.py_buffer(raw)]).cast(pa.binary())
 
 
+def packed(x: np.ndarray, ascending: bool = False) -> bytes:
+    """An array by byte planes, compressed; ascending ones as differences."""
+    if ascending and len(x):
+        x = np.concatenate([x[:1], x[1:] - x[:-1]])
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpacked(raw: bytes, kind, ascending: bool = False) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    x = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+    return np.cumsum(x, dtype=kind) if ascending else x
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -187,20 +202,13 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
 
-def width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``row``, a 64-bit hash of both: rows that share a doc_id but not the text are told apart, equal rows share their results."""
+    return texts(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_before.isDefined():
-            return set_before.get()
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return at
+def width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -210,7 +218,7 @@ def stored(df: DataFrame) -> DataFrame:
     which nothing is left; long operators would else keep those of all their steps.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "table")
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()

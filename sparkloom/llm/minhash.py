@@ -8,8 +8,9 @@ COORDINATES, so it must meet in one of the first COORDINATES - MATCHES + 1 coord
 a leader and the members left; members that pass leave the list (skip), so a list of n
 near copies gives n pairs, not n * n. Pairs are confirmed on full sets. A second pass
 compares members of different components with central leaders, and a third, by an exact
-prefix filter on the shingles that components share, finds what is left, so that no
-link is lost to a leader that failed.
+prefix filter on the shingles that components share, finds what is left among those that
+agree in MATCHES coordinates, so that no link is lost to a leader that failed. A pair at
+the similarity is missed if it agrees in fewer (about 1e-5 of pairs).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binaries, chunks, mix, seeds, shingles, stored, texts, trimmed, width, word_hashes
+from .common import U64, binaries, chunks, keyed, mix, seeds, shingles, stored, trimmed, width, word_hashes
 from .components import components
 
 COORDINATES = 32
@@ -33,6 +34,8 @@ BROADCAST_IDS = 1_000_000
 LONG = 256
 #: Stretch of a list that is searched at once for unsettled members.
 EARLY = 8192
+#: Pairs that a task holds before it passes them on.
+PAIRS = 100_000
 
 
 def _sets(b, off, k):
@@ -64,8 +67,8 @@ def _signatures(k: int):
                 s1[full] = np.add.reduceat(h, at)
                 s2[full] = np.add.reduceat(mix(h ^ U64(0x5851F42D4C957F2D)), at)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), binaries(sig.reshape(-1), np.arange(len(n) + 1) * COORDINATES)],
-                ["doc_id", "n_shingles", "s1", "s2", "sig"],
+                [rows.column("doc_id").cast(pa.int64()), rows.column("row"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), binaries(sig.reshape(-1), np.arange(len(n) + 1) * COORDINATES)],
+                ["doc_id", "row", "n_shingles", "s1", "s2", "sig"],
             )
 
     return run
@@ -99,7 +102,7 @@ def _runs(batches, first: bool, final: bool = True):
         for j in hits.tolist():
             p = (int(ids[i]), int(ids[j]))
             if p not in seen:
-                if len(seen) > 500_000:
+                if len(seen) > PAIRS:
                     seen.clear()
                 seen.add(p)
                 found.append(p)
@@ -318,10 +321,9 @@ def _rest(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
         held = None
         names = ("key", "doc_id", "component", "size", "most")
 
-        def lists_of(rows, last):
+        def lists_of(rows, end):
             key = rows[0]
-            end = len(key) if last else int(np.searchsorted(key, key[-1]))
-            found = set()
+            found: set = set()
             cut = np.flatnonzero(np.concatenate([[True], key[1:end] != key[: end - 1], [True]])) if end else []
             for lo, hi in zip(cut[:-1], cut[1:]):
                 _, ids, comp, size, most = (x[lo:hi] for x in rows)
@@ -332,31 +334,38 @@ def _rest(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
                     y = np.flatnonzero((comp != comp[x]) & (size <= most[x]) & (most >= size[x]))
                     for j in ids[y].tolist():
                         found.add((min(j, int(ids[x])), max(j, int(ids[x]))))
+                    if len(found) > PAIRS:
+                        yield pairs_of(found)
+                        found.clear()
+            yield pairs_of(found)
+
+        def pairs_of(found):
             a = np.array(sorted(found), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"]), [x[end:] for x in rows]
+            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
                 rows = [batch.column(c).to_numpy() for c in names]
                 held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
-                out, held = lists_of(held, False)
-                yield out
+                end = int(np.searchsorted(held[0], held[0][-1]))  # the last list may go on
+                yield from lists_of(held, end)
+                held = [x[end:] for x in held]
         if held is not None and len(held[0]):
-            yield lists_of(held, True)[0]
+            yield from lists_of(held, len(held[0]))
 
     n = width(docs.sparkSession)
     return stored(lists.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(trimmed(meet), "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
-
-    Null and blank texts have no shingles and link with nothing; texts of under k words
-    have one; rows that repeat a doc_id count once; rows without doc_id are dropped; an
-    empty table gives an empty one. Other columns are ignored.
-    """
-    docs = texts(docs)
-    signed = stored(docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, s1 long, s2 long, sig binary").dropDuplicates(["doc_id"]))
+def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """near_duplicates' columns, with the row (the hash of ``keyed``) that stands for each doc_id."""
+    docs = keyed(docs)
+    every = stored(docs.mapInArrow(_signatures(k), "doc_id long, row long, n_shingles long, s1 long, s2 long, sig binary").dropDuplicates(["doc_id", "row"]))
+    # of rows that share a doc_id the one with the least hash counts
+    signed = stored(every.groupBy("doc_id").agg(F.min("row").alias("row"))).join(every, ["doc_id", "row"])
+    chosen = signed.select("doc_id", "row")
+    if every.count() > chosen.count():
+        docs = docs.join(chosen, ["doc_id", "row"], "left_semi")
     of = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     of = stored(of)
     classes = signed.join(of.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig", F.col("doc_id").alias("component"))
@@ -371,12 +380,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
         if not pairs.isEmpty():
             links = links.union(stored(_confirmed(docs, pairs, k, percent)))
             comp = stored(components(links))
-    rep = signed.select("doc_id", "n_shingles", "s1", "s2").join(of, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    out = rep.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    rep = signed.select("doc_id", "row", "n_shingles", "s1", "s2").join(of, ["s1", "s2", "n_shingles"], "left").select("doc_id", "row", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    out = rep.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "row", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each document of ``docs`` (doc_id, text).
+
+    Null and blank texts have no shingles and link with nothing; texts of under k words
+    have one; rows that repeat a doc_id count once (of different texts, that with the
+    least hash); rows without doc_id are dropped; an empty table gives an empty one.
+    Other columns are ignored.
+    """
+    return _labelled(docs, k, percent).drop("row")
+
+
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """One row of ``docs`` (all columns) for each group, that with the smallest doc_id; rows without doc_id go."""
-    kept = stored(near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("__kept")))
-    return docs.join(kept, docs["doc_id"].cast("long") == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs`` (all columns) for each group, that with the smallest doc_id; rows without doc_id go.
+
+    Documents with null or blank texts are groups of their own, and stay; of rows that
+    share a doc_id one stays, as near_duplicates has it.
+    """
+    kept = stored(_labelled(docs, k, percent).where("kept").select(F.col("row").alias("__kept")))
+    return docs.join(kept, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])

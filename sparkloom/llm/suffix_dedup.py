@@ -5,15 +5,22 @@ the same document or another. Suffix arrays are only built where strings can rep
 
 1. Each LENGTH-byte window has a minimum among the hashes of its GRAM-byte grams; grams
    that are a minimum somewhere are anchors. Equal windows have equal anchors at equal
-   places, so a repeated window has an anchor whose gram repeats.
-2. Anchors are counted by gram hash. Where all surroundings (LENGTH - GRAM bytes to the
-   left, LENGTH to the right of the start) of a gram are alike, they repeat as a whole.
-3. Otherwise one place of each distinct surrounding goes, as a segment of text, to a
-   suffix array shared by the segments of many grams. A scan with a stack over its
-   common-prefix lengths gives the interval tree; an interval whose occurrences have
-   different left neighbours is a maximal repeat, with all its occurrences.
-   The segments of one gram are cut into lots of LOT; windows of lots of the same gram
-   are then matched across lots by a 128-bit hash, so that no gram fills one task.
+   places, so a repeated window has an anchor whose gram repeats. Anchors whose gram
+   doesn't repeat go no further: all that hashes decide.
+2. Anchors of one gram with equal surroundings (LENGTH - GRAM bytes to the left, LENGTH
+   to the right of the start) are a class. Two members of each class (one, if it has but
+   one) go, as segments of text, to a suffix array shared by the segments of many grams,
+   so a group of copies of any size is as cheap as a pair.
+3. A scan with a stack over the array's common-prefix lengths gives the interval tree;
+   an interval whose occurrences have different left neighbours is a maximal repeat,
+   with all its occurrences. What is repeated in a class's segments is so, at the same
+   distance from the anchor, around all its members.
+   The segments of one gram are cut into lots of LOT classes; windows of lots of the
+   same gram are then matched across lots by a 128-bit hash, so that no gram fills one
+   task.
+
+Rows of a document are told by a hash of doc_id and text, so rows that share a doc_id
+keep their own spans.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX64, U64, Rolling, binaries, chunks, mix, stored, texts, trimmed, width
+from .common import MAX64, U64, Rolling, binaries, chunks, keyed, mix, stored, trimmed, width
 
 LENGTH = 200
 GRAM = 64
@@ -85,14 +92,15 @@ def _anchors(length: int, gram: int):
             first = np.flatnonzero(new)
             n = np.diff(np.append(first, len(at)))
             pos = (at - off[doc]).astype(np.int32)
+            last = pos[np.append(first[1:], len(at)) - 1] if len(at) else pos
             rest = pos[~new]
             cut = np.concatenate([[0], np.cumsum(n - 1)])
             ids = rows.column("doc_id").to_numpy()
             for i in range(0, len(first), 50_000):
                 f, z = first[i : i + 50_000], min(i + 50_000, len(first))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[f].view(np.int64)), pa.array(around[f].view(np.int64)), pa.array(ids[doc[f]]), pa.array(pos[f]), pa.array(n[i:z].astype(np.int32)), binaries(rest[cut[i] : cut[z]], cut[i : z + 1] - cut[i])],
-                    ["h", "c", "doc_id", "pos", "n", "more"],
+                    [pa.array(h[f].view(np.int64)), pa.array(around[f].view(np.int64)), pa.array(ids[doc[f]]), pa.array(pos[f]), pa.array(last[i:z]), pa.array(n[i:z].astype(np.int32)), binaries(rest[cut[i] : cut[z]], cut[i : z + 1] - cut[i])],
+                    ["h", "c", "doc_id", "pos", "last", "n", "more"],
                 )
 
     return run
@@ -169,40 +177,52 @@ def _arrays(length: int, gram: int):
             last[lo : lo + 4096] = np.where(less.any(1), np.minimum(last[lo : lo + 4096], a + less.argmax(1) - (length - gram)), last[lo : lo + 4096])
         return first, last
 
-    def solve(ids, pos, base, text, seg, lots, out):
-        """Repeats among segments: appends (kind, hash, hash, doc_id, start, end)."""
+    def solve(h, c, pos, base, text, seg, lots):
+        """Repeats among segments, as places relative to the anchor: (kind, x, y, h, c, start, end); x and y tell windows that other lots may hold."""
         first, last = owned(text, seg, base, pos)
         n = np.maximum(last - first + 1, 0)
         which = np.repeat(np.arange(len(n)), n)
         before = np.concatenate([[0], np.cumsum(n)])[:-1]
         at = np.arange(len(which)) - before[which] + first[which]
-        place = base[which] + at - seg[which]
+        place = base[which] + at - seg[which] - pos[which]
         left = np.where(at == first[which], -1 - np.arange(len(at)), text[np.maximum(at - 1, 0)].astype(np.int64)) if len(at) else at
         reach = np.zeros(len(at), np.int64)
         for size, found in maximal_repeats(text, at, seg[which + 1] - at, left, length):
             reach[found] = np.maximum(reach[found], size)
         hit = np.flatnonzero(reach)
         z = np.zeros(len(hit), np.int64)
-        out.append((z, z, z, ids[which[hit]], place[hit], place[hit] + reach[hit]))
+        # the two members of a class say the same, and what lies within the stretch before it says nothing
+        key = np.lexsort((-reach[hit], place[hit], c[which[hit]], h[which[hit]]))
+        hit = hit[key]
+        one, two, s, e = h[which[hit]], c[which[hit]], place[hit], place[hit] + reach[hit]
+        if len(hit):
+            new = np.ones(len(hit), bool)
+            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            group = np.cumsum(new)
+            far = np.maximum.accumulate(e + group * (8 * length)) - group * (8 * length)
+            new[1:] |= e[1:] > far[:-1]
+            one, two, s, e, z = one[new], two[new], s[new], e[new], z[new]
+        out = [(z, z, z, one, two, s, e)]
         w = np.flatnonzero(lots[which])
-        if len(w):  # windows that other lots of the gram may hold
+        if len(w):
             end = len(text)
             x = Rolling(text).spans(at[w], at[w] + length).view(np.int64)
             y = Rolling(text[::-1]).spans(end - at[w] - length, end - at[w]).view(np.int64)
-            _, one = np.unique(x, return_index=True)
-            out.append((np.ones(len(one), np.int64), x[one], y[one], ids[which[w[one]]], place[w[one]], place[w[one]] + length))
+            _, one = np.unique(x, return_index=True)  # what two classes of a lot share is found in the lot
+            out.append((np.ones(len(one), np.int64), x[one], y[one], h[which[w[one]]], c[which[w[one]]], place[w[one]], place[w[one]] + length))
+        return out
 
     def run(batches):
         held: list = []
         size = 0
 
         def flush():
-            _, ids, pos, base, raw, lots = (np.concatenate([x[i] for x in held]) if i != 4 else b"".join(t for x in held for t in x[4]) for i in range(6))
+            h, c, pos, base, lots = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2, 3, 5))
+            raw = b"".join(t for x in held for t in x[4])
             seg = np.concatenate([[0], np.cumsum([len(t) for x in held for t in x[4]])]).astype(np.int64)
-            out: list = []
-            solve(ids, pos, base, np.frombuffer(raw, np.uint8), seg, lots, out)
-            cols = [np.concatenate([x[i] for x in out]) for i in range(6)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["kind", "x", "y", "doc_id", "start", "end"])
+            out = solve(h, c, pos, base, np.frombuffer(raw, np.uint8), seg, lots)
+            cols = [np.concatenate([x[i] for x in out]) for i in range(7)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["kind", "x", "y", "h", "c", "start", "end"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -210,14 +230,14 @@ def _arrays(length: int, gram: int):
             h = batch.column("h").to_numpy()
             lot = batch.column("lot").to_numpy()
             texts = batch.column("segment").to_pylist()
-            ids, pos, base = (batch.column(c).to_numpy() for c in ("doc_id", "pos", "base"))
+            c, pos, base = (batch.column(x).to_numpy() for x in ("c", "pos", "base"))
             lots = batch.column("lots").to_numpy() > 1
             cut = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (lot[1:] != lot[:-1])])).tolist() + [len(h)]
             for i, (a, z) in enumerate(zip(cut, cut[1:])):
                 if size > ARRAY_BYTES and not (i == 0 and held and held[-1][0][-1] == h[a] and held[-1][6] == lot[a]):
                     yield flush()
                     held, size = [], 0
-                held.append((h[a:z], ids[a:z], pos[a:z], base[a:z], texts[a:z], lots[a:z], lot[a]))
+                held.append((h[a:z], c[a:z], pos[a:z], base[a:z], texts[a:z], lots[a:z], lot[a]))
                 size += sum(map(len, texts[a:z]))
         if held:
             yield flush()
@@ -229,58 +249,53 @@ def _segments(length: int, gram: int):
     def run(batches):
         for batch in batches:
             out: list = []
-            for text, i, marks in zip(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("marks").to_pylist()):
+            for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist()):
                 raw = (text or "").encode()
                 for m in marks:
                     lo = max(0, m["pos"] - (length - gram))
-                    out.append((m["h"], m["lot"], m["lots"], i, m["pos"], lo, raw[lo : m["pos"] + length]))
+                    out.append((m["h"], m["c"], m["lot"], m["lots"], m["pos"], lo, raw[lo : m["pos"] + length]))
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["h", "lot", "lots", "doc_id", "pos", "base", "segment"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["h", "c", "lot", "lots", "pos", "base", "segment"])
 
     return run
 
 
-def _further(length: int, gram: int):
-    """Spans around the further places of a surrounding that repeats within its document."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            more = batch.column("more").to_pylist()
-            ids = np.repeat(batch.column("doc_id").to_numpy(), [len(m) // 4 for m in more])
-            pos = np.frombuffer(b"".join(more), np.int32).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.maximum(pos - (length - gram), 0)), pa.array(pos + length)], ["doc_id", "start", "end"])
-
-    return run
+def _placed(batches):
+    """The spans of a class around each place of a member: its first, and those in ``more``."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        more = batch.column("more").to_pylist()
+        n = np.array([1 + len(m) // 4 for m in more])
+        pos = np.concatenate([batch.column("pos").to_numpy().astype(np.int64), np.frombuffer(b"".join(more), np.int32).astype(np.int64)])
+        at = np.concatenate([np.arange(len(n)), np.repeat(np.arange(len(n)), n - 1)])
+        start, end = (pos + batch.column(x).to_numpy()[at] for x in ("start", "end"))
+        yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc_id").to_numpy()[at]), pa.array(start), pa.array(end)], ["doc_id", "start", "end"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start, end): byte spans, overlapping, that together cover every ``length``-byte string that also starts elsewhere. Ends may lie beyond a text."""
+    """(doc_id, start, end): byte spans, overlapping, that together cover every ``length``-byte string that also starts elsewhere; doc_id must tell texts apart."""
     n = width(docs.sparkSession)
-    found = docs.mapInArrow(_anchors(length, gram), "h long, c long, doc_id long, pos int, n int, more binary")
-    grams = found.groupBy("h").agg(F.sum("n").alias("times"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("times > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
+    found = docs.mapInArrow(_anchors(length, gram), "h long, c long, doc_id long, pos int, last int, n int, more binary")
+    # a table of its own, so that the join deals it anew and a hot gram can be split
+    grams = stored(found.groupBy("h").agg(F.sum("n").alias("times")).where("times > 1").select("h"))
     again = stored(found.join(grams, "h"))
-    alike = again.where("not mixed").select("doc_id", "pos", "n", "more")
-    mixed = again.where("mixed").select("h", "c", "doc_id", "pos", "n", "more")
-    kinds = stored(mixed.groupBy("h", "c").agg(F.sum("n").alias("times"), F.min(F.struct("doc_id", "pos")).alias("one")))
-    twice = mixed.join(kinds.where("times > 1").select("h", "c"), ["h", "c"], "left_semi").select("doc_id", "pos", "n", "more")
-    whole = alike.union(twice)
-    further = whole.where("n > 1").select("doc_id", "more").mapInArrow(trimmed(_further(length, gram)), "doc_id long, start long, end long")
-    start = F.greatest(F.col("pos") - (length - gram), F.lit(0))
-    whole = whole.select("doc_id", start.cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("end")).union(further)
+    kinds = again.groupBy("h", "c").agg(F.sum("n").alias("times"), F.min(F.struct("doc_id", "pos")).alias("one"), F.max(F.struct("doc_id", F.col("last").alias("pos"))).alias("two"))
+    kinds = stored(kinds)
     lots = kinds.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
-    marks = kinds.join(lots, "h").select("h", (F.pmod(F.xxhash64("c"), F.col("lots"))).cast("int").alias("lot"), "lots", "one.doc_id", "one.pos")
-    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("h", "lot", "lots", "pos")).alias("marks"))
-    placed = docs.repartition(n, "doc_id").join(marks, "doc_id").select("doc_id", "text", "marks")
-    segments = placed.mapInArrow(trimmed(_segments(length, gram)), "h long, lot int, lots int, doc_id long, pos int, base long, segment binary")
-    solved = segments.repartition(n, "h", "lot").sortWithinPartitions("h", "lot").mapInArrow(trimmed(_arrays(length, gram)), "kind long, x long, y long, doc_id long, start long, end long")
-    inside = solved.where("kind = 0").select("doc_id", "start", "end")
+    both = F.when(F.col("times") > 1, F.array("one", "two")).otherwise(F.array("one"))
+    marks = kinds.join(lots, "h").select("h", "c", F.pmod(F.xxhash64("c"), F.col("lots")).cast("int").alias("lot"), "lots", F.explode(both).alias("at"))
+    marks = marks.groupBy("at.doc_id").agg(F.collect_list(F.struct("h", "c", "lot", "lots", "at.pos")).alias("marks"))
+    placed = docs.repartition(n, "doc_id").join(marks, "doc_id").select("text", "marks")
+    segments = placed.mapInArrow(trimmed(_segments(length, gram)), "h long, c long, lot int, lots int, pos int, base long, segment binary")
+    solved = segments.repartition(n, "h", "lot").sortWithinPartitions("h", "lot").mapInArrow(trimmed(_arrays(length, gram)), "kind long, x long, y long, h long, c long, start long, end long")
+    solved = stored(solved)
     windows = solved.where("kind = 1")
-    shared = windows.groupBy("x", "y").agg(F.min(F.struct("doc_id", "start")).alias("lo"), F.max(F.struct("doc_id", "start")).alias("hi")).where("lo <> hi").select("x", "y")
-    outside = windows.join(shared, ["x", "y"], "left_semi").select("doc_id", "start", "end")
-    return whole.union(inside).union(outside)
+    shared = windows.groupBy("x", "y").agg(F.min(F.struct("h", "c", "start")).alias("lo"), F.max(F.struct("h", "c", "start")).alias("hi")).where("lo <> hi").select("x", "y")
+    across = windows.join(shared, ["x", "y"], "left_semi")
+    spans = solved.where("kind = 0").union(across).select("h", "c", "start", "end")
+    return again.select("h", "c", "doc_id", "pos", "more").join(spans, ["h", "c"]).mapInArrow(trimmed(_placed), "doc_id long, start long, end long")
 
 
 def merged_arrays(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -300,18 +315,19 @@ def merged(spans: list, n: int) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    plain = texts(docs)
-    spans = repeated_spans(plain, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return plain.repartition(width(docs.sparkSession), "doc_id").join(spans, "doc_id", "left")
+    """doc_id, row, text and the spans of each row."""
+    plain = keyed(docs)
+    spans = repeated_spans(plain.select(F.col("row").alias("doc_id"), "text"), length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return plain.repartition(width(docs.sparkSession), "row").join(spans.withColumnRenamed("doc_id", "row"), "row", "left")
 
 
 def removal(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed runs (array of start, end) of each document.
 
     Null texts are empty and lose nothing, as do texts of under ``length`` bytes; equal
-    rows count as copies, so that each loses all (rows with one doc_id but other texts
-    lose the spans of both); rows without doc_id are dropped; an empty table gives an empty one; other columns are
-    ignored. Strings in the same document count; matches never cross documents.
+    rows count as copies, so that each loses all; rows with one doc_id but other texts
+    are documents of their own; rows without doc_id are dropped; an empty table gives an
+    empty one; other columns are ignored. Strings in the same document count; matches never cross documents.
     """
 
     def run(batches):
@@ -338,7 +354,9 @@ def removal(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` (all columns) without the repeated bytes of its texts; n_chars, if there, is counted again.
 
-    Runs shrink to whole characters. A text that loses all stays as an empty one.
+    Runs shrink to whole characters. A text that loses all stays as an empty one, as a
+    null one does. Rows without doc_id go; rows that share a doc_id stay, each with what
+    is left of its own text.
     """
 
     def run(batches):
@@ -356,10 +374,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                     at = e
                 out.append(b"".join([*kept, raw[at:]]).decode())
             if out:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], ["__id", "__text"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out)], ["__row", "__text"])
 
-    cut = _with_spans(docs, length, gram).select("doc_id", "text", "spans").mapInArrow(trimmed(run), "__id long, __text string")
-    rest = docs.drop("text")
-    both = rest.join(cut, rest["doc_id"].cast("long") == cut["__id"])
+    cut = _with_spans(docs, length, gram).dropDuplicates(["row"]).select("row", "text", "spans").mapInArrow(trimmed(run), "__row long, __text string")
+    rest = docs.where("doc_id is not null").select(*docs.columns, F.xxhash64(F.col("doc_id").cast("long"), "text").alias("__own")).drop("text")
+    both = rest.join(cut, rest["__own"] == cut["__row"])
     cols = {"text": F.col("__text"), "n_chars": F.length("__text").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return both.select(*(cols[c].alias(c) if c in cols else rest[c] for c in docs.columns))

@@ -1,16 +1,23 @@
-"""Katz backoff bigram scoring of whole texts.
+"""Katz backoff scoring of whole texts with trigrams.
 
 Tokens are the A-Z-lowered words and one end per text. Training counts are discounted
 by Good-Turing (counts up to CUT), and what is left goes to the lower order with
 weights that normalise exactly; below the unigrams, the mass left goes to one class of
 unknown words.
 
-Bigrams are dealt by their history into shards. A map task sends each shard one packed
-message per block of texts (distinct histories and words, and per bigram the word's
-index and the text), so neither the count nor the scores pass through single rows. A
-shard knows all counts of its histories, which as words are the unigram counts too; the
-counts of successors are asked of the shards that own them. Counts are a table by shard
-in the shared folder; scores come back as sums per text and shard.
+N-grams are dealt into shards by the word before the last one: a shard has all bigrams
+and trigrams in which that word comes next to last, so both orders of a token are at
+one place. A map task sends each shard one packed message per block of texts, so neither
+counts nor scores pass through single rows. Two tables by shard are stored:
+
+* ``counted``: the n-gram counts. As a history each word is counted in its own shard,
+  which makes the unigram counts.
+* ``weighted``: the same with the backoff weights, and the unigram counts of all words
+  that may follow, asked of the shards that own them.
+
+A text's tokens then go to the shards of their histories; each is looked up from the
+trigram down, and scores come back as sums per text and shard. The number of shards
+follows the bytes of text, so a shard's size doesn't.
 """
 
 from __future__ import annotations
@@ -20,35 +27,21 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, mix, stored, texts, width, word_hashes
+from .common import U64, chunks, mix, packed, stored, texts, trimmed, unpacked, width, word_hashes
 
 FOLDS, FOLD = 7, 2
 #: Counts above this are not discounted.
 CUT = 5
 #: A block ends at about so many tokens, or this many texts.
 BLOCK_TOKENS, BLOCK_TEXTS = 1_500_000, 30_000
+#: Text for each shard.
+SHARD_BYTES = 8 << 20
 #: Stand for the start of a text (a history only) and its end (a word only).
 START, END = U64(0x5354415254), U64(0x454E44)
-HELD = 1 << 15
-
-
-def packed(x: np.ndarray, ascending: bool = False) -> bytes:
-    """An array by byte planes, compressed; ascending ones as differences."""
-    if ascending and len(x):
-        x = np.concatenate([x[:1], x[1:] - x[:-1]])
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def unpacked(raw: bytes, kind, ascending: bool = False) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    x = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
-    return np.cumsum(x, dtype=kind) if ascending else x
 
 
 def is_held(doc_id: int) -> bool:
@@ -59,130 +52,191 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return (mix(h ^ U64(0xABCDEF)) % U64(shards)).astype(np.int64)
 
 
-_MESSAGE = "shard int, block long, heads binary, runs binary, words binary, at binary, text binary, ids binary"
+def _indices(x: np.ndarray, n: int) -> bytes:
+    return packed(x.astype(np.uint16 if n < 65536 else np.uint32))
+
+
+def _unindexed(raw: bytes, n: int) -> np.ndarray:
+    return unpacked(raw, np.uint16 if n < 65536 else np.uint32).astype(np.int64)
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _blocks(batches):
+    """Blocks of texts: ids, and by token the history word, the one before it, the word, and the text's number."""
+    held: list = []
+    tokens = texts_ = 0
+
+    def block():
+        ids = np.concatenate([x[0] for x in held])
+        cols: list = [[], [], [], []]
+        base = 0
+        for own, wh, ptr in held:
+            n = np.diff(ptr)
+            which = np.repeat(np.arange(len(n)), n + 1)
+            spot = np.arange(len(wh)) + np.repeat(np.arange(len(n)), n)
+            h, u, w = (np.full(len(which), x, U64) for x in (START, START, END))
+            w[spot] = wh
+            h[spot + 1] = wh
+            first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if len(which) else spot
+            u[1:] = h[:-1]
+            u[first] = START
+            for c, x in zip(cols, (h, u, w, which + base)):
+                c.append(x)
+            base += len(n)
+        return ids, *map(np.concatenate, cols)
+
+    for rows, b, off in chunks(batches):
+        wh, ptr = word_hashes(b, off)
+        ids = rows.column("doc_id").to_numpy()
+        for i in range(0, len(ids), BLOCK_TEXTS):
+            j = min(i + BLOCK_TEXTS, len(ids))
+            if held and (texts_ + j - i > BLOCK_TEXTS or tokens > BLOCK_TOKENS):
+                yield block()
+                held, tokens, texts_ = [], 0, 0
+            held.append((ids[i:j], wh[ptr[i] : ptr[j]], ptr[i : j + 1] - ptr[i]))
+            tokens += int(ptr[j] - ptr[i])
+            texts_ += j - i
+    if held:
+        yield block()
+
+
+def _batch(rows: list, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    cols = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields)], [n for n, _ in fields])
 
 
-def _messages(shards: int):
+#: kind 0: n-grams and their counts; 1: tokens to score; 2: words to ask for; 3: the ids of a block.
+_MESSAGE = "shard int, kind int, block long, heads binary, runs binary, names binary, before binary, word binary, rest binary"
+
+
+def _messages(shards: int, score: bool, order: int):
+    """To count: the training texts' n-grams, and of the others the words that follow. To score: each token with its text."""
+
     def run(batches):
-        held: list = []
-        tokens = texts_ = 0
         number = 0
-
-        def flush():
-            nonlocal number
-            ids = np.concatenate([x[0] for x in held])
+        for ids, h, u, w, text in _blocks(batches):
             block = (TaskContext.get().partitionId() << 20) + number
             number += 1
-            bos, eos = np.full(1, START, U64), np.full(1, END, U64)
-            heads, words, text = [], [], []
-            base = 0
-            for own, wh, ptr in held:
-                n = np.diff(ptr)
-                which = np.repeat(np.arange(len(n)), n + 1)
-                spot = np.arange(len(wh)) + np.repeat(np.arange(len(n)), n)
-                h = np.full(len(which), bos[0], U64)
-                w = np.full(len(which), eos[0], U64)
-                w[spot] = wh
-                h[spot + 1] = wh
-                heads.append(h)
-                words.append(w)
-                text.append(which + base)
-                base += len(n)
-            h, w, text = np.concatenate(heads), np.concatenate(words), np.concatenate(text)
-            flag = np.array([HELD if is_held(i) else 0 for i in ids.tolist()], np.int64)
-            text = (text | flag[text]).astype(np.uint16)
             shard = _shard(h, shards)
-            order = np.lexsort((h, shard))
-            h, w, text, shard = h[order], w[order], text[order], shard[order]
-            cut = np.searchsorted(shard, np.arange(shards + 1))
-            rows = []
+            if order < 3:
+                u = np.full(len(u), START, U64)
+            train = ~np.array([is_held(i) for i in ids.tolist()], bool)[text]
+            rows = [(block % shards, 3, block, None, None, None, None, None, ids.tobytes())] if score else []
+            by = np.argsort(shard, kind="stable")
+            cut = np.searchsorted(shard[by], np.arange(shards + 1))
             for s in range(shards):
-                a, z = cut[s], cut[s + 1]
-                if a == z:
+                at = by[cut[s] : cut[s + 1]]
+                if not score:
+                    asked = np.unique(w[at[~train[at]]])
+                    if len(asked):
+                        rows.append((s, 2, block, None, None, packed(asked, True), None, None, None))
+                    at = at[train[at]]
+                if not len(at):
                     continue
-                first = np.flatnonzero(np.concatenate([[True], h[a + 1 : z] != h[a : z - 1]]))
-                names, at = np.unique(w[a:z], return_inverse=True)
-                kind = np.uint16 if len(names) < 65536 else np.uint32
-                rows.append((s, block, packed(h[a:z][first], True), packed(np.diff(np.append(first, z - a)).astype(np.uint32)), packed(names, True), packed(at.astype(kind)), packed(text[a:z]), None))
-            rows.append((block % shards, block, None, None, None, None, None, ids.tobytes()))
-            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "block", "heads", "runs", "words", "at", "text", "ids"])
-
-        for rows, b, off in chunks(batches):
-            wh, ptr = word_hashes(b, off)
-            ids = rows.column("doc_id").to_numpy()
-            for i in range(0, len(ids), BLOCK_TEXTS):
-                j = min(i + BLOCK_TEXTS, len(ids))
-                if held and (texts_ + j - i > BLOCK_TEXTS or tokens > BLOCK_TOKENS):
-                    yield flush()
-                    held, tokens, texts_ = [], 0, 0
-                held.append((ids[i:j], wh[ptr[i] : ptr[j]], ptr[i : j + 1] - ptr[i]))
-                tokens += int(ptr[j] - ptr[i])
-                texts_ += j - i
-        if held:
-            yield flush()
+                heads, hi = np.unique(h[at], return_inverse=True)
+                names, both = np.unique(np.concatenate([u[at], w[at]]), return_inverse=True)
+                ui, wi = both[: len(at)], both[len(at) :]
+                if score:
+                    order_ = np.argsort(hi, kind="stable")
+                    hi, ui, wi, rest = hi[order_], ui[order_], wi[order_], packed(text[at][order_].astype(np.uint16))
+                else:
+                    key, times = np.unique((hi * len(names) + ui) * len(names) + wi, return_counts=True)
+                    hi, ui, wi, rest = key // len(names) ** 2, key // len(names) % len(names), key % len(names), packed(times.astype(np.uint32))
+                runs = packed(np.bincount(hi, minlength=len(heads)).astype(np.uint32))
+                rows.append((s, 0 if not score else 1, block, packed(heads, True), runs, packed(names, True), _indices(ui, len(names)), _indices(wi, len(names)), rest))
+            yield _batch(rows, _MESSAGE)
 
     return run
 
 
-class Shard:
-    """What the messages to one shard hold together."""
-
-    def __init__(self, messages: pd.DataFrame):
-        m = messages[messages["heads"].notna()]
-        get = lambda c, t, up=False: [unpacked(x, t, up) for x in m[c]]
-        heads, runs, names, text = get("heads", U64, True), get("runs", np.uint32), get("words", U64, True), get("text", np.uint16)
-        at = [unpacked(x, np.uint16 if len(n) < 65536 else np.uint32) for x, n in zip(m["at"], names)]
-        self.blocks = m["block"].to_numpy()
-        none = [np.zeros(0, U64)]
-        self.heads, hi = np.unique(np.concatenate(heads or none), return_inverse=True)
-        self.words, wi = np.unique(np.concatenate(names or none), return_inverse=True)
-        self.head = np.repeat(hi, np.concatenate(runs)) if runs else np.zeros(0, np.int64)
-        base = np.cumsum([0, *map(len, names)])
-        self.word = np.concatenate([wi[b + a] for b, a in zip(base, at)]) if at else np.zeros(0, np.int64)
-        text = np.concatenate(text) if text else np.zeros(0, np.uint16)
-        self.sizes = [int(r.sum()) for r in runs]
-        self.train = (text & HELD) == 0
-        self.text = (text & (HELD - 1)).astype(np.int64)
-        self.total = np.bincount(self.head, self.train, len(self.heads)).astype(np.int64)
-        self.pair, which = np.unique(self.head * max(len(self.words), 1) + self.word, return_inverse=True)
-        self.times = np.bincount(which, self.train, len(self.pair)).astype(np.int64)
-        self.which = which
-
-
-def _counts(shards: int):
-    schema = "kind int, to int, origin int, data binary, times binary"
+_COUNTS = "kind int, shard int, data binary, heads binary, total binary, names binary, asked binary, pairs binary, pair_times binary, contexts binary, grams binary, gram_times binary"
+
+
+def _counts(order: int):
+    """A shard's counts: n-grams as keys of indices. Kind 0: how many items have each count; kind 1: the table."""
 
     def run(key: tuple, messages: pd.DataFrame) -> pd.DataFrame:
-        s = Shard(messages)
-        rows = []
-        real = s.heads != START
-        seen = real & (s.total > 0)
-        starts = int(s.total[~real].sum())
-        one = s.total[seen]
-        pairs = s.times[s.times > 0]
-        stats = [int(one.sum()), int(seen.sum()), starts, *(int((one == r).sum()) for r in range(1, CUT + 2)), *(int((pairs == r).sum()) for r in range(1, CUT + 2))]
-        rows.append((0, -1, key[0], np.array(stats, np.int64).tobytes(), None))
-        rows.append((1, key[0], key[0], packed(s.heads[seen], True), packed(one.astype(np.uint32))))
-        dest = _shard(s.words, shards)
-        for d in np.unique(dest).tolist():
-            rows.append((2, d, key[0], packed(s.words[dest == d], True), None))
-        return pd.DataFrame(rows, columns=["kind", "to", "origin", "data", "times"])
+        m = messages[messages["kind"] == 0]
+        heads = [unpacked(x, U64, True) for x in m["heads"]]
+        names = [unpacked(x, U64, True) for x in m["names"]]
+        asked = [unpacked(x, U64, True) for x in messages.loc[messages["kind"] == 2, "names"]]
+        none = [np.zeros(0, U64)]
+        all_heads, all_names = np.unique(np.concatenate(heads or none)), np.unique(np.concatenate(names or none))
+        n = max(len(all_names), 1)
+        kinds: list = [[], [], []]
+        for hs, ns, runs, before, word, rest in zip(heads, names, m["runs"], m["before"], m["word"], m["rest"]):
+            to = np.searchsorted(all_names, ns)
+            kinds[0].append(np.repeat(np.searchsorted(all_heads, hs), unpacked(runs, np.uint32)) * n + to[_unindexed(before, len(ns))])
+            kinds[1].append(to[_unindexed(word, len(ns))])
+            kinds[2].append(unpacked(rest, np.uint32).astype(np.int64))
+        del m, messages, heads, names
+        ctx, word, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in kinds)
+        kinds.clear()
+        total = np.bincount(ctx // n, times, len(all_heads)).astype(np.int64)
+        pairs, at = np.unique(ctx // n * n + word, return_inverse=True)
+        pair_times = np.bincount(at, times, len(pairs)).astype(np.int64)
+        if order > 2:
+            contexts, at = np.unique(ctx, return_inverse=True)
+            grams, at = np.unique(at * n + word, return_inverse=True)
+            gram_times = np.bincount(at, times, len(grams)).astype(np.int64)
+        else:
+            contexts = grams = gram_times = np.zeros(0, np.int64)
+        real = all_heads != START
+        one = total[real]
+        stats = [int(one.sum()), int(real.sum()), int(total[~real].sum())]
+        for x in (one, pair_times, gram_times):
+            stats += [int((x == r).sum()) for r in range(1, CUT + 2)]
+        table = [packed(x, True) for x in (all_heads,)] + [packed(total), packed(all_names, True), packed(np.unique(np.concatenate(asked or none)), True)]
+        table += [packed(pairs, True), packed(pair_times.astype(np.uint32)), packed(contexts, True), packed(grams, True), packed(gram_times.astype(np.uint32))]
+        rows = [(0, key[0], np.array(stats, np.int64).tobytes(), *[None] * 9), (1, key[0], None, *table)]
+        return pd.DataFrame(rows, columns=[f.split(" ")[0] for f in _COUNTS.split(", ")])
+
+    return run
+
+
+_ASKED = "to int, shard int, names binary"
 
-    return run, schema
 
+def _asked(shards: int):
+    """Of each shard the words that may follow there, to the shards that own them."""
 
-def _answers(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    own = rows[rows["kind"] == 1]
-    names = np.concatenate([np.zeros(0, U64), *(unpacked(x, U64, True) for x in own["data"])])
-    times = np.concatenate([np.zeros(0, np.uint32), *(unpacked(x, np.uint32) for x in own["times"])])
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for s, names, asked in zip(*(batch.column(c).to_pylist() for c in ("shard", "names", "asked"))):
+                all_ = np.union1d(unpacked(names, U64, True), unpacked(asked, U64, True))
+                to = _shard(all_, shards)
+                rows += [(d, s, packed(all_[to == d], True)) for d in np.unique(to).tolist()]
+            yield _batch(rows, _ASKED)
+
+    return run
+
+
+def _answers(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    names = np.concatenate([np.zeros(0, U64), *(unpacked(x, U64, True) for x in own["heads"])])
+    times = np.concatenate([np.zeros(0, np.int64), *(unpacked(x, np.int64) for x in own["total"])])
     out = []
-    for _, r in rows[rows["kind"] == 2].iterrows():
-        asked = unpacked(r["data"], U64, True)
-        at = np.minimum(np.searchsorted(names, asked), max(len(names) - 1, 0))
-        got = np.where(names[at] == asked, times[at], 0) if len(names) else np.zeros(len(asked))
-        out.append((r["origin"], key[0], packed(got.astype(np.uint32))))
-    return pd.DataFrame(out, columns=["shard", "owner", "answer"])
+    for s, raw in zip(asked["shard"], asked["names"]):
+        want = unpacked(raw, U64, True)
+        got = np.zeros(len(want), np.int64)
+        at = _find(names, want)
+        got[at >= 0] = times[at[at >= 0]]
+        out.append((s, raw, packed(got)))
+    return pd.DataFrame(out, columns=["shard", "names", "times"])
+
+
+def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The place of each x in a sorted array, -1 where it isn't there."""
+    if not len(sorted_):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return np.where(sorted_[at] == x, at, -1)
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -203,16 +257,18 @@ def discounts(n: list[int]) -> np.ndarray:
 class Model:
     """The constants that all shards share."""
 
-    def __init__(self, stats: np.ndarray):
+    def __init__(self, stats: np.ndarray, order: int = 3):
         words, kinds, texts_ = (int(x) for x in stats[:3])
-        one, two = stats[3 : 4 + CUT].astype(int).tolist(), stats[4 + CUT :].astype(int).tolist()
+        one, *more = np.asarray(stats[3:], np.int64).reshape(-1, CUT + 1).tolist()
         if texts_:
             if texts_ <= CUT + 1:
                 one[texts_ - 1] += 1  # the end is a token too
             kinds += 1
+        self.order = order
         self.ends = texts_
         self.n, self.v = words + texts_, kinds
-        self.one, self.two = discounts(one), discounts(two)
+        self.one = discounts(one)
+        self.more = [discounts(x) for x in more]
         lost = sum((1 - self.one[r]) * r * one[r - 1] for r in range(1, CUT + 1))
         self.unknown = lost / self.n if self.n and lost > 0 else 1 / (self.n + 1)
         self.scale = 1.0 if self.n and lost > 0 else self.n / (self.n + 1)
@@ -223,50 +279,114 @@ class Model:
         return np.where(times > 0, self.scale * d * times / max(self.n, 1), self.unknown)
 
 
-def weights(m: Model, s: Shard, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each pair, its probability given its head (0 if not seen); of each head, its backoff weight."""
-    head, word = s.pair // max(len(s.words), 1), s.pair % max(len(s.words), 1)
-    d = np.where(s.times > CUT, 1.0, m.two[np.minimum(s.times, CUT)])
-    kept = np.bincount(head, d * s.times, len(s.heads))
+def backed_off(d: np.ndarray, history: np.ndarray, times: np.ndarray, lower: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each seen n-gram its probability; of each history its backoff weight.
+
+    ``history`` numbers the history of each n-gram, ``times`` counts it (all above 0),
+    ``lower`` is the lower order's probability of its word, and ``least`` by history
+    what the lower order gives unknown words, which are never among those seen.
+    """
+    kept_times = np.where(times > CUT, 1.0, d[np.minimum(times, CUT)]) * times
+    total = np.bincount(history, times, len(least))
+    kept = np.bincount(history, kept_times, len(least))
     # where nothing would be left for other words, one more count stands for them
-    total = s.total + (s.total - kept < s.total / (s.total + 1.0) * 0.999999)
-    p = np.where(s.times > 0, d * s.times / np.maximum(total, 1)[head], 0.0)
-    seen = np.bincount(head, p1[word] * (s.times > 0), len(s.heads))
-    left = 1 - kept / np.maximum(total, 1)
-    return p, np.where(s.total > 0, left / np.maximum(1 - seen, m.unknown), 1.0)
-
-
-def _partials(m: Model, shards: int):
-    schema = "block long, ids binary, text binary, n binary, known binary, base binary, score binary"
-
-    def run(key: tuple, messages: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        s = Shard(messages)
-        times = np.zeros(len(s.words), np.int64)
-        dest = _shard(s.words, shards)
-        for owner, a in zip(answers["owner"], answers["answer"]):
-            times[dest == owner] = unpacked(a, np.uint32)
-        times[s.words == END] = m.ends
-        p1 = m.unigram(times)
-        p, alpha = weights(m, s, p1)
-        at = s.which
-        score = np.log10(np.where(s.times[at] > 0, p[at], alpha[s.head] * p1[s.word]))
-        real = s.heads[s.head] != START
-        base = np.where(real, np.log10(s.total + 1.0)[s.head], 0.0)
-        known = real & (s.total[s.head] > 0)
-        rows, lo = [], 0
-        for block, size in zip(s.blocks, s.sizes):
-            z = slice(lo, lo + size)
-            lo += size
-            t = s.text[z]
-            names, i = np.unique(t, return_inverse=True)
-            sums = [np.bincount(i, x[z], len(names)) for x in (real, known, base, score)]
-            rows.append((block, None, packed(names.astype(np.uint16), True), packed(sums[0].astype(np.uint32)), packed(sums[1].astype(np.uint32)), sums[2].tobytes(), sums[3].tobytes()))
-        for block, ids in zip(messages["block"], messages["ids"]):
-            if ids is not None:
-                rows.append((block, ids, None, None, None, None, None))
-        return pd.DataFrame(rows, columns=["block", "ids", "text", "n", "known", "base", "score"])
+    total = total + (total - kept < total / (total + 1.0) * 0.999999)
+    seen = np.bincount(history, lower, len(least))
+    return kept_times / total[history], (1 - kept / total) / np.maximum(1 - seen, least)
 
-    return run, schema
+
+class Shard:
+    """A shard of the weighted table."""
+
+    def __init__(self, m: Model, row):
+        get = lambda c, t, up=False: unpacked(row[c], t, up)
+        self.heads, self.names = get("heads", U64, True), get("names", U64, True)
+        self.total = get("total", np.int64)
+        times = get("times", np.int64)
+        self.p1 = m.unigram(np.where(self.names == END, m.ends, times))
+        self.unknown = m.unknown
+        self.n = max(len(self.names), 1)
+        self.pairs, self.contexts, self.grams = (get(c, np.int64, True) for c in ("pairs", "contexts", "grams"))
+        self.p2, self.p3 = get("p2", np.float32), get("p3", np.float32)
+        self.alpha1, self.alpha2 = get("alpha1", np.float64), get("alpha2", np.float32)
+
+    def scores(self, head: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10 probabilities, from the trigram down; each argument gives places in heads or names, -1 for none."""
+        p = np.where(word >= 0, self.p1[word] if len(self.p1) else self.unknown, self.unknown)
+        if len(self.heads):
+            at = np.where((head >= 0) & (word >= 0), _find(self.pairs, head * self.n + word), -1)
+            p = np.where(at >= 0, self.p2[at] if len(self.p2) else p, np.where(head >= 0, self.alpha1[head] * p, p))
+        if len(self.contexts):
+            ctx = np.where((head >= 0) & (before >= 0), _find(self.contexts, head * self.n + before), -1)
+            at = np.where((ctx >= 0) & (word >= 0), _find(self.grams, ctx * self.n + word), -1)
+            p = np.where(at >= 0, self.p3[at], np.where(ctx >= 0, self.alpha2[ctx] * p, p))
+        return np.log10(p)
+
+
+_WEIGHTS = "shard int, heads binary, total binary, names binary, times binary, pairs binary, p2 binary, alpha1 binary, contexts binary, grams binary, p3 binary, alpha2 binary"
+
+
+def _weights(m: Model):
+    """A shard's table with probabilities and weights; its names are all that may follow or come before."""
+
+    def run(key: tuple, counted: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        none = np.zeros(0, U64)
+        names = np.concatenate([none, *(unpacked(x, U64, True) for x in answers["names"])])
+        times = np.concatenate([np.zeros(0, np.int64), *(unpacked(x, np.int64) for x in answers["times"])])
+        by = np.argsort(names)
+        names, times = names[by], times[by]
+        n = max(len(names), 1)
+        rows = []
+        for _, r in counted.iterrows():
+            own = unpacked(r["names"], U64, True)
+            k = max(len(own), 1)
+            to = np.searchsorted(names, own)
+            heads, total = unpacked(r["heads"], U64, True), unpacked(r["total"], np.int64)
+            pairs, contexts, grams = (unpacked(r[c], np.int64, True) for c in ("pairs", "contexts", "grams"))
+            p1 = m.unigram(np.where(names == END, m.ends, times))
+            head, word = pairs // k, to[pairs % k] if len(pairs) else pairs
+            p2, alpha1 = backed_off(m.more[0], head, unpacked(r["pair_times"], np.uint32).astype(np.int64), p1[word], np.full(len(heads), m.unknown))
+            p3, alpha2 = np.zeros(0), np.zeros(0)
+            if len(contexts):
+                ctx = grams // k
+                lower = p2[np.searchsorted(pairs, contexts[ctx] // k * k + grams % k)]
+                p3, alpha2 = backed_off(m.more[1], ctx, unpacked(r["gram_times"], np.uint32).astype(np.int64), lower, alpha1[contexts // k] * m.unknown)
+                grams = ctx * n + to[grams % k]
+                contexts = contexts // k * n + to[contexts % k]
+            pairs = head * n + word
+            table = [packed(heads, True), packed(total), packed(names, True), packed(times), packed(pairs, True), packed(p2.astype(np.float32)), packed(alpha1)]
+            rows.append((key[0], *table, packed(contexts, True), packed(grams, True), packed(p3.astype(np.float32)), packed(alpha2.astype(np.float32))))
+        return pd.DataFrame(rows, columns=[f.split(" ")[0] for f in _WEIGHTS.split(", ")])
+
+    return run
+
+
+_PARTS = "block long, ids binary, text binary, n binary, known binary, base binary, score binary"
+
+
+def _partials(m: Model):
+    def run(key: tuple, messages: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        empty = {c: packed(np.zeros(0, np.int64)) for c in ("heads", "total", "names", "times", "pairs", "p2", "alpha1", "contexts", "grams", "p3", "alpha2")}
+        s = Shard(m, table.iloc[0] if len(table) else empty)
+        rows = []
+        for r in messages.itertuples():
+            if r.kind == 3:
+                rows.append((r.block, r.rest, *[None] * 5))
+                continue
+            heads, names = unpacked(r.heads, U64, True), unpacked(r.names, U64, True)
+            times = unpacked(r.runs, np.uint32)
+            hi, to = _find(s.heads, heads), _find(s.names, names)
+            score = s.scores(np.repeat(hi, times), to[_unindexed(r.before, len(names))], to[_unindexed(r.word, len(names))])
+            total = np.where(hi >= 0, s.total[hi] if len(s.total) else 0, 0)
+            real = heads != START
+            text, at = np.unique(unpacked(r.rest, np.uint16), return_inverse=True)
+            each = (real, real & (total > 0), np.where(real, np.log10(total + 1.0), 0.0))
+            n, known, base = (np.bincount(at, np.repeat(x, times), len(text)) for x in each)
+            score = np.bincount(at, score, len(text))
+            rows.append((r.block, None, packed(text, True), packed(n.astype(np.uint32)), packed(known.astype(np.uint32)), packed(base), packed(score.astype(np.float32))))
+        return pd.DataFrame(rows, columns=[f.split(" ")[0] for f in _PARTS.split(", ")])
+
+    return run
 
 
 def _gathered(m: Model):
@@ -276,13 +396,12 @@ def _gathered(m: Model):
         ids = np.frombuffer(rows.loc[rows["ids"].notna(), "ids"].iloc[0], np.int64)
         n, known = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         base, score = np.zeros(len(ids)), np.zeros(len(ids))
-        part = rows[rows["text"].notna()]
-        for _, r in part.iterrows():
-            t = unpacked(r["text"], np.uint16, True)
-            n[t] += unpacked(r["n"], np.uint32)
-            known[t] += unpacked(r["known"], np.uint32)
-            base[t] += np.frombuffer(r["base"])
-            score[t] += np.frombuffer(r["score"])
+        for r in rows[rows["text"].notna()].itertuples():
+            t = unpacked(r.text, np.uint16, True)
+            n[t] += unpacked(r.n, np.uint32)
+            known[t] += unpacked(r.known, np.uint32)
+            base[t] += unpacked(r.base, np.float64)
+            score[t] += unpacked(r.score, np.float32)
         n += 1  # the end
         known += m.ends > 0
         base += np.log10(m.ends + 1.0) - n * np.log10(m.n + m.v + 1.0)
@@ -291,25 +410,39 @@ def _gathered(m: Model):
     return run, schema
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each text.
+def trained(docs: DataFrame, order: int = 3) -> tuple[Model, DataFrame, int]:
+    """The model's constants, its stored table by shard (n-grams, probabilities, backoff weights), and the number of shards.
 
-    Null and empty texts hold only an end; equal rows give equal rows (and count in
-    training each); rows without doc_id are dropped; without training rows every token
-    is unknown; an empty table gives an empty one; other columns are ignored.
+    It can score the texts of ``docs``, training and held-out ones; ``order`` is 2 or 3.
     """
     docs = texts(docs)
-    n = width(docs.sparkSession)
-    shards = 2 * n
-    sent = docs.mapInArrow(_messages(shards), _MESSAGE)
-    run, schema = _counts(shards)
-    counted = stored(sent.repartition(shards, "shard").groupBy("shard").applyInPandas(run, schema))
-    stats = np.zeros(3 + 2 * (CUT + 1), np.int64)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(4, -(-int(size) // SHARD_BYTES))
+    sent = docs.mapInArrow(trimmed(_messages(shards, False, order)), _MESSAGE)
+    counted = stored(sent.repartition(shards, "shard").groupBy("shard").applyInPandas(_counts(order), _COUNTS))
+    stats = np.zeros(3 + 3 * (CUT + 1), np.int64)
     for row in counted.where("kind = 0").select("data").toLocalIterator():
         stats += np.frombuffer(row.data, np.int64)
-    m = Model(stats)
-    answers = stored(counted.where("kind > 0").repartition(shards, "to").groupBy("to").applyInPandas(_answers, "shard int, owner int, answer binary"))
-    run, schema = _partials(m, shards)
-    parts = sent.repartition(shards, "shard").groupBy("shard").cogroup(answers.repartition(shards, "shard").groupBy("shard")).applyInPandas(run, schema)
+    m = Model(stats, order)
+    table = counted.where("kind = 1").drop("kind", "data")
+    asked = table.select("shard", "names", "asked").mapInArrow(_asked(shards), _ASKED)
+    owned = table.select(F.col("shard").alias("to"), "heads", "total")
+    answers = owned.groupBy("to").cogroup(asked.groupBy("to")).applyInPandas(_answers, "shard int, names binary, times binary")
+    weighted = table.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(_weights(m), _WEIGHTS)
+    return m, stored(weighted), shards
+
+
+def scored(docs: DataFrame, order: int = 3) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each text.
+
+    Null and empty texts hold only an end; equal rows give equal rows (and count in
+    training each), as do rows that share a doc_id, each by its own text; rows without
+    doc_id are dropped; without training rows every token is unknown; an empty table
+    gives an empty one; other columns are ignored.
+    """
+    m, table, shards = trained(docs, order)
+    docs = texts(docs)
+    sent = docs.mapInArrow(trimmed(_messages(shards, True, order)), _MESSAGE)
+    parts = sent.repartition(shards, "shard").groupBy("shard").cogroup(table.groupBy("shard")).applyInPandas(_partials(m), _PARTS)
     run, schema = _gathered(m)
-    return parts.repartition(n, "block").groupBy("block").applyInPandas(run, schema)
+    return parts.repartition(width(docs.sparkSession), "block").groupBy("block").applyInPandas(run, schema)

@@ -1,11 +1,14 @@
 """Exact top-k inner-product search with a KD-tree per shard.
 
-Vectors are dealt into shards of about SHARD vectors, queries into blocks of BLOCK; each
-(block, shard) cell is one group, so no task holds more than one of each. A shard's
-KD-tree splits at the median of its widest dimension and keeps tight boxes. A query
-visits nodes best first by its upper bound over their boxes and stops when no bound
-reaches the k-th score. That score first comes from a seed shard and then travels with
-the query to all others.
+Shards are the leaves of a coarse KD-tree, fitted on a bounded sample (median splits of
+the widest dimension); every vector is dealt to its leaf, and each leaf's box is made
+tight over all its vectors. A leaf with more than SHARD vectors is dealt on by a hash,
+queries by blocks of BLOCK, so a task holds one (block, shard) cell at most.
+
+Queries visit leaves best first by their upper bound over the leaf's box, in rounds:
+first the best one, then some more, then all the rest; a leaf whose bound lies under the
+k-th score so far is never visited. Inside a cell the same is done over the shard's own
+tree, down from the k-th score that came along.
 """
 
 from __future__ import annotations
@@ -22,6 +25,12 @@ from .common import stored
 SHARD = 16_384
 BLOCK = 16_384
 LEAF = 256
+#: Leaves of the coarse tree: one for each SHARD vectors, but so many at least and at most.
+FEWEST, MOST = 8, 1024
+#: Components of the vectors that the coarse tree is fitted on, at most (32 MB; those with the smallest hashes).
+SAMPLE = 4_000_000
+#: Leaves that a query has visited after each round but the last.
+VISITS = (1, 8)
 
 
 class Tree:
@@ -81,28 +90,111 @@ class Tree:
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id and floor(256 * x) of each component; vectors that are null or hold null or non-finite components are left out."""
+    """vec_id, floor(256 * x) of each component, and their number (dim); vectors that are null or hold null or non-finite components are left out."""
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (
         vectors.where(e.isNotNull() & (F.size(e) > 0)).where(fine)
-        .select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("v"))
+        .select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("v"), F.size(e).alias("dim"))
         .where("vec_id is not null")
     )
 
 
+class Coarse:
+    """Median splits of a sample into leaves; a vector goes right where its component is above the split."""
+
+    def __init__(self, x: np.ndarray, leaves: int):
+        self.split: list[tuple[int, float, int, int]] = []  # dimension, value, left, right; leaves are -1 - number
+        self.leaves = 0
+        todo = [(np.arange(len(x)), leaves, -1, False)]
+        while todo:
+            at, n, parent, is_right = todo.pop()
+            part = x[at]
+            wide = np.ptp(part, axis=0) if len(at) > 1 else np.zeros(0)
+            here = -1 - self.leaves
+            if n > 1 and len(wide) and wide.max() > 0:
+                f = int(wide.argmax())
+                value = float(np.median(part[:, f]))
+                if value == part[:, f].max():
+                    value = float(part[:, f][part[:, f] < value].max())
+                above = part[:, f] > value
+                here = len(self.split)
+                self.split.append((f, value, 0, 0))
+                todo += [(at[above], n // 2, here, True), (at[~above], n - n // 2, here, False)]
+            else:
+                self.leaves += 1
+            if parent >= 0:
+                f, value, left, right = self.split[parent]
+                self.split[parent] = (f, value, left, here) if is_right else (f, value, here, right)
+
+    def route(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each vector."""
+        leaf = np.zeros(len(x), np.int32)
+        todo = [(np.arange(len(x)), 0 if self.split else -1)]
+        while todo:
+            at, i = todo.pop()
+            if i < 0:
+                leaf[at] = -1 - i
+            elif len(at):
+                f, value, left, right = self.split[i]
+                above = x[at, f] > value
+                todo += [(at[~above], left), (at[above], right)]
+        return leaf
+
+
+def _routed(tree: Coarse, dim: int):
+    """vec_id, v, dim and leaf; vectors of another length than most are all in leaf -1."""
+
+    def run(parts):
+        for p in parts:
+            leaf = np.full(len(p), -1, np.int32)
+            own = np.flatnonzero(p["dim"].to_numpy() == dim)
+            if len(own):
+                leaf[own] = tree.route(np.stack(p["v"].to_numpy()[own]))
+            yield p.assign(leaf=leaf)
+
+    return run
+
+
+def _boxes(parts):
+    """The box of each leaf's vectors within a batch."""
+    for p in parts:
+        for leaf, own in p[p["leaf"] >= 0].groupby("leaf"):
+            x = np.stack(own["v"].to_numpy())
+            yield pd.DataFrame({"leaf": [leaf], "low": [x.min(0)], "high": [x.max(0)]})
+
+
+def _next_leaves(low: np.ndarray, high: np.ndarray, dim: int, done: int, upto: int | None):
+    """Queries with each leaf of the round that can still hold one of their best k."""
+
+    def run(parts):
+        for q in parts:
+            other = q[q["dim"] != dim]
+            if done == 0 and len(other):
+                yield other.assign(leaf=np.int32(-1))
+            q = q[q["dim"] == dim]
+            for i in range(0, len(q), 256):
+                part = q.iloc[i : i + 256]
+                x = np.stack(part["v"].to_numpy())
+                bound = np.maximum(x, 0) @ high.T + np.minimum(x, 0) @ low.T
+                order = np.argsort(-bound, axis=1, kind="stable")[:, done:upto]
+                ok = np.take_along_axis(bound, order, 1) >= np.nan_to_num(part["least"].to_numpy(float), nan=-np.inf)[:, None]
+                at, col = np.nonzero(ok)
+                yield part.iloc[at].assign(leaf=order[at, col].astype(np.int32))
+
+    return run
+
+
 def _cell(k: int):
     schema = "query_id long, vec_id long, score long"
 
     def run(key: tuple, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(points) and len(queries):
-            for dim, part in points.groupby(points["v"].map(len)):
-                tree = Tree(np.array(part["v"].tolist(), np.float64), part["vec_id"].to_numpy())
-                mine = queries[queries["v"].map(len) == dim]
-                for i, q, least in zip(mine["vec_id"], mine["v"], mine["least"]):
-                    least = -np.inf if least is None or np.isnan(least) else float(least)
-                    out += [(i, j, -int(s)) for s, j in tree.search(np.asarray(q, np.float64), i, k, least)]
+            tree = Tree(np.stack(points["v"].to_numpy()), points["vec_id"].to_numpy())
+            for i, q, least in zip(queries["vec_id"], queries["v"], queries["least"]):
+                least = -np.inf if least is None or np.isnan(least) else float(least)
+                out += [(i, j, -int(s)) for s, j in tree.search(np.asarray(q, np.float64), i, k, least)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run, schema
@@ -120,27 +212,45 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD
     ``vectors`` and ``queries`` have vec_id and embedding. Ties go to the smaller
     vec_id; a query with fewer candidates gets them all; unusable vectors (null, empty,
     with null or non-finite components) take no part; rows that repeat a vec_id are
-    candidates each, but not of their own id; empty tables give an empty one; other
-    columns are ignored. Scores must stay below 2**53 in size, where they are exact.
+    candidates each, but not of their own id (of queries that share an id, the least
+    vector asks); empty tables give an empty one; other columns are ignored. Scores must
+    stay below 2**53 in size, where they are exact.
     """
     points = stored(quantised(vectors))
-    asked = stored(quantised(queries).dropDuplicates(["vec_id"]))
-    shards = max(1, -(-points.count() // shard))
+    asked = stored(quantised(queries).groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("q")).select("vec_id", "q.*"))
+    common = points.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
+    dim, n = (common.dim, common.n) if common else (0, 0)
+    sample = points.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, SAMPLE // max(dim, 1))).select("v").collect()
+    tree = Coarse(np.array([r.v for r in sorted(sample)], float).reshape(len(sample), max(dim, 1)), min(MOST, max(FEWEST, -(-n // shard))))
+    fields = "vec_id long, v array<double>, dim int, leaf int"
+    routed = stored(points.mapInPandas(_routed(tree, dim), fields))
+    # MOST boxes at most
+    merged = routed.mapInPandas(_boxes, "leaf int, low array<double>, high array<double>").groupBy("leaf").applyInPandas(
+        lambda p: pd.DataFrame({"leaf": [p["leaf"].iloc[0]], "low": [np.min(np.stack(p["low"]), 0)], "high": [np.max(np.stack(p["high"]), 0)]}), "leaf int, low array<double>, high array<double>"
+    )
+    low, high = np.zeros((tree.leaves, dim)), np.full((tree.leaves, dim), 0.0)
+    for r in merged.collect():
+        low[r.leaf], high[r.leaf] = r.low, r.high
+    # a leaf is dealt on where it holds too many
+    parts = routed.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("parts"))
+    parts = stored(parts)
+    placed = routed.join(parts, ["dim", "leaf"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
     blocks = max(1, -(-asked.count() // BLOCK))
-    points = points.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-
-    def search(asked, which, shard_numbers):
-        run, schema = _cell(k)
-        left = asked.withColumn("shard", F.explode(shard_numbers))
-        right = points.where(which).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(run, schema)
-
-    first = stored(_best(search(asked.withColumn("least", F.lit(None).cast("double")), "shard = 0", F.array(F.lit(0))), k))
-    found = first.select("query_id", F.explode("top").alias("t")).select("query_id", "t.vec_id", (-F.col("t.worse")).alias("score"))
-    if shards > 1:
-        kth = first.where(F.size("top") == k).select(F.col("query_id").alias("vec_id"), (-F.element_at("top", k)["worse"]).cast("double").alias("least"))
-        rest = search(asked.join(kth, "vec_id", "left"), "shard > 0", F.sequence(F.lit(1), F.lit(shards - 1)))
-        found = found.union(rest)
+    cell = ["dim", "leaf", "part", "block"]
+    run, schema = _cell(k)
+    found = None
+    for done, upto in zip((0, *VISITS), (*VISITS, None)):
+        if done and done >= tree.leaves:
+            break
+        now = asked.withColumn("least", F.lit(None).cast("double"))
+        if found is not None:
+            kth = _best(found, k).where(F.size("top") == k).select(F.col("query_id").alias("vec_id"), (-F.element_at("top", k)["worse"]).cast("double").alias("least"))
+            now = asked.join(kth, "vec_id", "left")
+        going = now.mapInPandas(_next_leaves(low, high, dim, done, upto), "vec_id long, v array<double>, dim int, block int, least double, leaf int")
+        going = going.join(parts, ["dim", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        more = stored(going.groupBy(*cell).cogroup(placed.groupBy(*cell)).applyInPandas(run, schema))
+        found = more if found is None else found.unionByName(more)
     ranked = _best(found, k).select("query_id", F.posexplode("top").alias("rank", "t"))
     return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "t.vec_id", (-F.col("t.worse")).cast("long").alias("score"))

@@ -17,7 +17,6 @@ from .common import texts
 SAMPLE = 20_000
 TREES = 40
 DEPTH = 3
-RULES = 40
 PENALTY = 0.002
 
 LETTERS_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -59,7 +58,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, model=None) -> DataFrame:
-    """The rows of ``docs`` (all columns) with a score of 0.5 or more; rows without doc_id go."""
+    """The rows of ``docs`` (all columns) with a score of 0.5 or more; rows without doc_id go. Each row is judged by its own text, a null one as an empty one."""
     model = model or train(docs, labels)
     rows = docs.where("doc_id is not null")
     return _prepared(rows, F.struct("*").alias("__row")).select("__row", *_statistics()).where(compiled(model) >= 0.5).select("__row.*")
@@ -133,20 +132,25 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 9) -> tuple[float, list[
         m = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         v, vb = new + (momentum - 1) / m * (new - w), nb + (momentum - 1) / m * (nb - b)
         w, b, momentum = new, nb, m
-    keep = np.argsort(-np.abs(w))[:RULES]
-    return float(b), [(float(w[i]), rules[i]) for i in keep if w[i]]
+    return float(b), [(float(w[i]), rules[i]) for i in np.flatnonzero(w)]
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts == part
 
 
+def known(labels: DataFrame, column: str) -> DataFrame:
+    """doc_id and y of the usable labels, one row each: those that are null or neither 0 nor 1 are ignored, and so are documents whose labels clash."""
+    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    return y.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Fits on at most ``sample`` labelled rows outside the held-out fold. Labels that are null or neither 0 nor 1 are ignored."""
-    mine = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id"), 3, 1))
-    mine = mine.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = statistics(texts(docs).join(F.broadcast(mine.select("doc_id")), "doc_id")).join(mine, "doc_id").orderBy("doc_id").toPandas()
+    """Fits on at most ``sample`` labelled rows outside the held-out fold (see ``known`` for those that count)."""
+    mine = known(labels, "quality").where(~held_out(F.col("doc_id"), 3, 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = statistics(texts(docs).join(F.broadcast(mine.select("doc_id")), "doc_id")).join(mine, "doc_id").toPandas()
     names = [c for c in rows.columns if c not in ("doc_id", "y")]
+    rows = rows.sort_values(["doc_id", *names])
     bias, rules = fit_rules(rows[names].to_numpy(float), rows["y"].to_numpy(float))
     return bias, [(w, tuple((names[f], above, t) for f, above, t in rule)) for w, rule in rules]
 

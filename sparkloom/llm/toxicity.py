@@ -1,28 +1,37 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives; a sample of all training texts, without regard
-to labels, is the unlabelled set. A linear model over the words and word heads that a text holds is
-trained in numpy on the risk
+to labels, is the unlabelled set. A linear model over the words and word heads that a
+text holds is trained in numpy on the risk
     prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])
 with logistic losses. The class prior is the toxic share of the labelled training rows.
+Features are counted over all confirmed positives and all training texts in Spark; only
+those chosen reach the driver.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, stored, texts
+from .common import by_bytes, stored, texts, trimmed
 from .quality import held_out
+from .quality import known as labelled
 
 #: Texts that the model is fitted on, at most (those with the smallest hashes).
 POSITIVES = 4_000
 UNLABELLED = 8_000
-#: A feature must be in so many of the positives.
-SEEN = 4
+#: A feature must be in more positives than its share of all texts lets expect, with this log-likelihood ratio.
+EVIDENCE = 3.0
+#: Features that a task counts before it passes the counts on.
+HELD = 200_000
+#: Ids of positives are broadcast up to this many (16 MB), else joined by shuffle.
+BROADCAST_IDS = 1_000_000
 HEADS = (4, 5, 6)
 FEATURES = 20_000
 STEPS = 300
@@ -68,36 +77,62 @@ def fit(names: list[str], positive: list, unlabelled: list, prior: float) -> tup
         m1 = 0.9 * m1 + 0.1 * g
         m2 = 0.999 * m2 + 0.001 * g * g
         w = w - 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    return float(w[-1]), {f: float(w[i]) for i, f in enumerate(names) if abs(w[i]) > 1e-3}
+    return float(w[-1]), {f: float(w[i]) for i, f in enumerate(names)}
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(f, n): in how many texts of ``rows`` each feature is."""
+
+    def run(batches):
+        held: Counter = Counter()
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["f", "n"])
+            held.clear()
+            return out
+
+        for _, batch in by_bytes(batches):
+            for t in batch:
+                held.update(features(t))
+            if len(held) > HELD:
+                yield flush()
+        yield flush()
+
+    return rows.select("text").mapInArrow(trimmed(run), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED):
-    """Fits outside the held-out fold. Labels that are null or neither 0 nor 1 are ignored."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id"), 5, 0)).dropDuplicates(["doc_id"])
+    """Fits outside the held-out fold, on labels as ``quality.known`` has them.
+
+    The fit takes ``positives`` confirmed texts and ``unlabelled`` others at most, and
+    the FEATURES features that tell positives best, by EVIDENCE.
+    """
+    known = labelled(labels, "toxic").where(~held_out(F.col("doc_id"), 5, 0))
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = float(toxic) / n if n else 0.0
-    pos = known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id")
-    rest = texts(docs).select("doc_id").where(~held_out(F.col("doc_id"), 5, 0)).distinct()
-    rest = rest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
-    chosen = pos.withColumn("y", F.lit(1)).union(rest.withColumn("y", F.lit(0)))
-
-    def held(batches):
-        for rows, batch in by_bytes(batches):
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), pa.array([sorted(features(t)) for t in batch], pa.list_(pa.string()))], ["doc_id", "y", "f"])
-
-    sample = stored(texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(held, "doc_id long, y int, f array<string>"))
-    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # features by how much more frequent they are in positives
-    counts = sample.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("u")).where(F.col("p") >= SEEN)
-    share = (F.col("p") / max(sizes.get(1, 0), 1)) / ((F.col("u") + 1) / (sizes.get(0, 0) + 1))
-    names = [r.f for r in counts.withColumn("share", share).where("share > 1.5").orderBy(F.desc(F.col("share") * F.log1p("p")), "f").limit(FEATURES).collect()]
+    mine = texts(docs).where(~held_out(F.col("doc_id"), 5, 0))
+    confirmed = known.where("y = 1").select("doc_id")
+    sent = F.broadcast(confirmed) if toxic <= BROADCAST_IDS else confirmed
+    mine_toxic = mine.join(sent, "doc_id", "left_semi")
+    in_positives = stored(_counted(mine_toxic))
+    counts = _counted(mine).withColumnRenamed("n", "u").join(in_positives, "f")
+    expected = F.col("u") * (float(mine_toxic.count()) / max(mine.count(), 1))
+    ratio = F.col("n") * F.log(F.col("n") / expected) - (F.col("n") - expected)
+    told = counts.select("f", ratio.alias("ratio"), (F.col("n") > expected).alias("more")).where(F.col("more") & (F.col("ratio") >= EVIDENCE))
+    names = [r.f for r in told.orderBy(F.desc("ratio"), "f").limit(FEATURES).select("f").collect()]
     index = {f: i for i, f in enumerate(names)}
 
+    pos = confirmed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
+    rest = mine.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
+    chosen = pos.withColumn("y", F.lit(1)).union(rest.withColumn("y", F.lit(0)))
+
     def indexed(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([[index[f] for f in r if f in index] for r in batch.column("f").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "y", "f"])
+        for rows, batch in by_bytes(batches):
+            found = [sorted(index[f] for f in features(t) if f in index) for t in batch]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "f"])
 
-    found = sorted((r.doc_id, r.y, r.f) for r in sample.mapInArrow(indexed, "doc_id long, y int, f array<int>").collect())
+    sample = mine.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(trimmed(indexed), "doc_id long, y int, f array<int>")
+    found = sorted((r.doc_id, r.y, r.f) for r in sample.collect())
     return fit(names, [f for _, y, f in found if y], [f for _, y, f in found if not y], prior)
 
 

@@ -190,26 +190,72 @@ def test_compact_windows():
     assert got == want
 
 
-def test_katz_normalises(spark, texts):
-    """Over all words and the unknown class, the probabilities after any history add up to one."""
-    m = katz.Model(np.array([60, 4, 5, 1, 1, 0, 0, 0, 0, 9, 4, 2, 1, 1, 1]))
-    s = katz.Shard.__new__(katz.Shard)
-    s.heads, s.words = np.array([1, 2], np.uint64), np.arange(5, dtype=np.uint64)
-    s.pair, s.times, s.total = np.array([0, 1, 5, 6, 7]), np.array([1, 2, 7, 8, 9]), np.array([3, 24])
-    times = np.array([1, 2, 20, 37, 5])  # with the end, all 65 training tokens
-    p1 = m.unigram(times)
-    p, alpha = katz.weights(m, s, p1)
-    for head, own in ((0, [0, 1]), (1, [0, 1, 2])):
-        rest = 1 - p1[own].sum()
-        assert abs(p[s.pair // 5 == head].sum() + alpha[head] * rest - 1) < 1e-9
-    got = {x.doc_id: x for x in katz.scored(frame(spark, texts)).collect()}
-    w = [tokens(t) + ["</s>"] for t in texts]
-    c = collections.Counter(t for i, x in enumerate(w) if not katz.is_held(i) for t in x)
+def katz_by_hand(w, held, cut=5):
+    """score(text) by Katz trigrams from plain dictionaries: (log10 probability, base score)."""
+    train = [x for x, h in zip(w, held) if not h]
+    one = collections.Counter(t for x in train for t in x)
+    two, three = collections.Counter(), collections.Counter()
+    for x in train:
+        y = ["<s>", "<s>", *x]
+        for i in range(2, len(y)):
+            two[y[i - 1], y[i]] += 1
+            three[y[i - 2], y[i - 1], y[i]] += 1
+    n = sum(one.values())
+    d = [katz.discounts([sum(c == r for c in k.values()) for r in range(1, cut + 2)]) for k in (one, two, three)]
+    disc = lambda k, c: c if c > cut else d[k][c] * c
+    lost = sum(c - disc(0, c) for c in one.values())
+    unknown = lost / n if n and lost > 0 else 1 / (n + 1)
+    scale = 1 if n and lost > 0 else n / (n + 1)
+    p1 = lambda t: scale * disc(0, one[t]) / n if one[t] else unknown
+
+    def level(k, grams, lower):
+        of = collections.defaultdict(dict)
+        for g, c in grams.items():
+            of[g[:-1]][g[-1]] = c
+
+        def p(*g):
+            seen = of.get(g[:-1])
+            if not seen:
+                return lower(*g[1:])
+            total, kept = sum(seen.values()), sum(disc(k, c) for c in seen.values())
+            if total - kept < total / (total + 1) * 0.999999:
+                total += 1
+            if g[-1] in seen:
+                return disc(k, seen[g[-1]]) / total
+            rest = 1 - sum(lower(*g[1:-1], t) for t in seen)
+            return (1 - kept / total) / max(rest, lower(*g[1:-1], None)) * lower(*g[1:])
+
+        return p
+
+    p2 = level(1, two, p1)
+    p3 = level(2, three, p2)
+    out = []
+    for x in w:
+        y = ["<s>", "<s>", *x]
+        out.append((sum(np.log10(p3(*y[i - 2 : i + 1])) for i in range(2, len(y))), sum(np.log10((one[t] + 1) / (n + len(one) + 1)) for t in x)))
+    vocabulary = [*one, None]  # with one unknown word
+    for a, b in list({g[:2] for g in three})[:20] + [("<s>", "nothing")]:
+        assert abs(sum(p3(a, b, t) for t in vocabulary) - 1) < 1e-6
+    return out
+
+
+@pytest.mark.parametrize("order", [3, 2])
+def test_katz(spark, texts, order, monkeypatch):
+    monkeypatch.setattr(katz, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 700)
+    r = random.Random(6)
+    more = [*texts, *(" ".join(r.choice("the a of cat dog sat on mat and ran".split()) for _ in range(r.randint(1, 60))) for _ in range(80))]
+    got = {x.doc_id: x for x in katz.scored(frame(spark, more), order).collect()}
+    w = [tokens(t) + ["</s>"] for t in more]
+    held = [katz.is_held(i) for i in range(len(more))]
+    c = collections.Counter(t for x, h in zip(w, held) if not h for t in x)
     n = sum(c.values())
+    want = katz_by_hand(w, held)
     for i, x in enumerate(w):
-        base = sum(np.log10((c[t] + 1) / (n + len(c) + 1)) for t in x)
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (len(x), sum(c[t] > 0 for t in x), n, katz.is_held(i))
-        assert abs(got[i].base_score - base) < 1e-6 and np.isfinite(got[i].score)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (len(x), sum(c[t] > 0 for t in x), n, held[i])
+        assert abs(got[i].base_score - want[i][1]) < 1e-6 and np.isfinite(got[i].score)
+        if order == 3:
+            assert abs(got[i].score - want[i][0]) < 1e-4 * max(1, abs(want[i][0])), i
 
 
 def test_classifiers(spark):
@@ -240,3 +286,56 @@ def test_empty_tables(spark, texts):
     for f in (minhash.near_duplicates, suffix_dedup.removal, passages.marked, katz.scored):
         assert f(none).count() == 0
     assert suffix_dedup.deduplicated(none).columns == none.columns
+
+
+def repeated(spark):
+    """Rows that share a doc_id, with equal and with other texts, and rows without one."""
+    r = random.Random(9)
+    long = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared = long(80)
+    rows = [(1, shared + " " + long(60)), (1, long(90)), (2, long(50) + " " + shared), (3, long(70)), (3, None), (4, long(70))]
+    rows.append(rows[-1])
+    rows += [(None, shared), (5, "")]
+    return spark.createDataFrame([(i, t, "en", 1, 2, 3) for i, t in rows], SCHEMA), rows, shared
+
+
+def test_repeated_ids(spark):
+    docs, rows, shared = repeated(spark)
+    known = [(i, t) for i, t in rows if i is not None]
+    by = lambda x: (x[0], *map(str, x[1:]))
+    # substrings: each row by its own text; the equal rows lose all, and nothing fans out
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed > 0) for x in suffix_dedup.removal(docs).collect()), key=by)
+    assert got == sorted(((i, len(t or ""), bool(t) and (shared in t or i == 4)) for i, t in known), key=by)
+    left = suffix_dedup.deduplicated(docs).collect()
+    assert sorted(x.doc_id for x in left) == sorted(i for i, _ in known)
+    assert all(shared not in x.text for x in left) and sum(x.text == "" for x in left if x.doc_id == 4) == 2
+    # passages
+    got = sorted(((x.doc_id, x.n_passages > 0) for x in passages.marked(docs).collect()), key=by)
+    assert got == sorted(((i, bool(t) and (shared in t or i == 4)) for i, t in known), key=by)
+    # benchmark passages
+    bench = spark.createDataFrame([(7, shared), (7, "one two three four five six seven eight nine"), (None, "x")], "item_id long, text string")
+    got = sorted(((x.doc_id, x.contaminated) for x in decontamination.marked(docs, bench).collect()), key=by)
+    assert got == sorted(((i, bool(t) and shared in t) for i, t in known), key=by)
+    left = sorted(((x.doc_id, x.text) for x in decontamination.decontaminated(docs, bench).collect()), key=by)
+    assert left == sorted(((i, t) for i, t in known if not (t and shared in t)), key=by)
+    # near-duplicates: a document once
+    got = {x.doc_id: x for x in minhash.near_duplicates(docs).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and all(x.kept for x in got.values())
+    assert sorted(x.doc_id for x in minhash.deduplicated(docs).collect()) == [1, 2, 3, 4, 5]
+    # tokens and scores: each row
+    path, _ = library("byte_bpe_50k.json")
+    assert bpe.digests(docs, path).count() == len(known) and katz.scored(docs).count() == len(known)
+
+
+def test_empty_documents(spark, texts):
+    none = frame(spark, texts).where("doc_id < 0")
+    bench = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
+    assert bpe.digests(none, library("byte_bpe_50k.json")[0]).count() == 0
+    assert token_counts.token_counts(none, library("word_bpe_49k.json")[0]).count() == 0
+    assert decontamination.marked(none, bench).count() == 0
+    assert minhash.deduplicated(none).count() == 0 and decontamination.decontaminated(none, bench).count() == 0
+
+
+def test_clashing_labels(spark):
+    y = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, None), (4, 7), (None, 1)], "doc_id long, quality int")
+    assert [tuple(x) for x in quality.known(y, "quality").collect()] == [(2, 1)]

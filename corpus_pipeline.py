@@ -1,6 +1,9 @@
 """A corpus pipeline of five stages: quality, near-duplicates, repeated substrings, benchmark passages, BPE.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All
+drop rows without doc_id, take null texts as empty ones, and give no rows for no rows.
+Rows that share a doc_id are judged each by its own text, but for near_duplicates, which
+keeps one row of a doc_id.
 """
 
 from __future__ import annotations

@@ -197,3 +197,8 @@ def stream_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's count and greatest value in state of our own; the last state of each user is the answer."""
     return streams.updated(state.running(streams.source(spark, sf_dir)), ["user_id"])
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.in_memory(streams.source(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))

@@ -67,6 +67,11 @@ add(
 )
 add("agg_collect", "SELECT o_custkey, to_json(sort_array(collect_list(o_orderkey))) AS keys FROM orders GROUP BY o_custkey", "SELECT o_custkey, to_json(list(o_orderkey ORDER BY o_orderkey))::VARCHAR AS keys FROM orders GROUP BY o_custkey")
 add("agg_mode", "SELECT c_mktsegment, mode(c_nationkey, true) AS m, any_value(c_mktsegment) AS a FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, min(c_nationkey) FILTER (WHERE n = most) AS m, c_mktsegment AS a FROM (SELECT *, max(n) OVER (PARTITION BY c_mktsegment) AS most FROM (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY 1, 2)) GROUP BY c_mktsegment")
+add(
+    "agg_histogram",
+    "SELECT c_mktsegment, aggregate(histogram_numeric(c_acctbal, 8), 0D, (s, b) -> s + b.y) AS n, size(histogram_numeric(c_acctbal, 8)) AS bins FROM customer GROUP BY c_mktsegment",
+    "SELECT c_mktsegment, count(*)::DOUBLE AS n, 8 AS bins FROM customer GROUP BY c_mktsegment",
+)
 # Approximate aggregates: whether they stay within their bounds.
 add("approx_distinct", "SELECT abs(approx_count_distinct(l_partkey, 0.02) - count(DISTINCT l_partkey)) <= 0.08 * count(DISTINCT l_partkey) AS near FROM lineitem", "SELECT count(*) > 0 AS near FROM lineitem")
 add(

@@ -8,6 +8,8 @@ written, as append mode has it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,13 @@ def updated(stream: DataFrame, keys: list[str], path: str | None = None) -> Data
     return newest.select(*keys, "row.*").select(*[c for c in rows.columns if c != "batch"])
 
 
+def in_memory(stream: DataFrame) -> DataFrame:
+    """The whole result as a table that the driver holds: for results of a known few rows."""
+    name = f"stream_{uuid.uuid4().hex}"
+    stream.writeStream.format("memory").queryName(name).option("checkpointLocation", fresh_path(stream.sparkSession, "stream")).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(name)
+
+
 def wall(time: str) -> Column:
     """Back from an instant to what the clock showed."""
     return F.col(time).cast("timestamp_ntz")

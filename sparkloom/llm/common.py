@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -222,4 +223,22 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def settle(spark: SparkSession) -> None:
+    """Waits a moment and collects again: right after a large step its shuffle files may still be held by events on their way."""
+    time.sleep(1)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables from the shared folder, once all that is read from them is stored itself."""
+    for table in tables:
+        spark = table.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,9 +1,9 @@
 """Katz backoff scoring of whole texts with trigrams.
 
 Tokens are the A-Z-lowered words and one end per text. Training counts are discounted
-by Good-Turing (counts up to CUT), and what is left goes to the lower order with
-weights that normalise exactly; below the unigrams, the mass left goes to one class of
-unknown words.
+by Good-Turing (counts up to CUT; trigrams under LEAST to nothing), and what is left goes
+to the lower order with weights that normalise exactly; below the unigrams, the mass left
+goes to one class of unknown words.
 
 N-grams are dealt into shards by the word before the last one: a shard has all bigrams
 and trigrams in which that word comes next to last, so both orders of a token are at
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, mix, packed, stored, texts, trimmed, unpacked, width, word_hashes
+from .common import U64, chunks, forget, mix, packed, settle, stored, texts, trimmed, unpacked, width, word_hashes
 
 FOLDS, FOLD = 7, 2
 #: Counts above this are not discounted.
@@ -40,6 +40,8 @@ CUT = 5
 BLOCK_TOKENS, BLOCK_TEXTS = 1_500_000, 30_000
 #: Text for each shard.
 SHARD_BYTES = 8 << 20
+#: Trigrams of fewer training tokens are left to their bigrams (discounted to nothing): the table holds those that repeat, not the whole corpus again.
+LEAST = 2
 #: Stand for the start of a text (a history only) and its end (a word only).
 START, END = U64(0x5354415254), U64(0x454E44)
 
@@ -60,11 +62,6 @@ def _unindexed(raw: bytes, n: int) -> np.ndarray:
     return unpacked(raw, np.uint16 if n < 65536 else np.uint32).astype(np.int64)
 
 
-def _runs(x: np.ndarray) -> np.ndarray:
-    """Where the runs of equal values start."""
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-
-
 def _blocks(batches):
     """Blocks of texts: ids, and by token the history word, the one before it, the word, and the text's number."""
     held: list = []
@@ -155,7 +152,7 @@ def _messages(shards: int, score: bool, order: int):
     return run
 
 
-_COUNTS = "kind int, shard int, data binary, heads binary, total binary, names binary, asked binary, pairs binary, pair_times binary, contexts binary, grams binary, gram_times binary"
+_COUNTS = "kind int, shard int, data binary, heads binary, total binary, names binary, asked binary, pairs binary, pair_times binary, contexts binary, context_total binary, grams binary, gram_times binary"
 
 
 def _counts(order: int):
@@ -183,18 +180,29 @@ def _counts(order: int):
         pair_times = np.bincount(at, times, len(pairs)).astype(np.int64)
         if order > 2:
             contexts, at = np.unique(ctx, return_inverse=True)
+            context_total = np.bincount(at, times, len(contexts)).astype(np.int64)
             grams, at = np.unique(at * n + word, return_inverse=True)
             gram_times = np.bincount(at, times, len(grams)).astype(np.int64)
         else:
-            contexts = grams = gram_times = np.zeros(0, np.int64)
+            contexts = context_total = grams = gram_times = np.zeros(0, np.int64)
         real = all_heads != START
         one = total[real]
         stats = [int(one.sum()), int(real.sum()), int(total[~real].sum())]
         for x in (one, pair_times, gram_times):
             stats += [int((x == r).sum()) for r in range(1, CUT + 2)]
-        table = [packed(x, True) for x in (all_heads,)] + [packed(total), packed(all_names, True), packed(np.unique(np.concatenate(asked or none)), True)]
-        table += [packed(pairs, True), packed(pair_times.astype(np.uint32)), packed(contexts, True), packed(grams, True), packed(gram_times.astype(np.uint32))]
-        rows = [(0, key[0], np.array(stats, np.int64).tobytes(), *[None] * 9), (1, key[0], None, *table)]
+        kept = gram_times >= LEAST
+        used, at = np.unique(grams[kept] // n, return_inverse=True)
+        grams, gram_times, contexts, context_total = at * n + grams[kept] % n, gram_times[kept], contexts[used], context_total[used]
+        # of the words that come before only those of contexts that are left have a name
+        to = np.zeros(n, np.int64)
+        to[pairs % n] = to[contexts % n] = 1
+        all_names = all_names[to[: len(all_names)] > 0]
+        k = max(len(all_names), 1)
+        to = np.cumsum(to) - 1
+        pairs, contexts, grams = pairs // n * k + to[pairs % n], contexts // n * k + to[contexts % n], grams // n * k + to[grams % n]
+        table = [packed(all_heads, True), packed(total), packed(all_names, True), packed(np.setdiff1d(np.concatenate(asked or none), all_names), True)]
+        table += [packed(pairs, True), packed(pair_times.astype(np.uint32)), packed(contexts, True), packed(context_total), packed(grams, True), packed(gram_times.astype(np.uint32))]
+        rows = [(0, key[0], np.array(stats, np.int64).tobytes(), *[None] * 10), (1, key[0], None, *table)]
         return pd.DataFrame(rows, columns=[f.split(" ")[0] for f in _COUNTS.split(", ")])
 
     return run
@@ -227,8 +235,8 @@ def _answers(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame
         got = np.zeros(len(want), np.int64)
         at = _find(names, want)
         got[at >= 0] = times[at[at >= 0]]
-        out.append((s, raw, packed(got)))
-    return pd.DataFrame(out, columns=["shard", "names", "times"])
+        out.append((s, key[0], packed(got)))
+    return pd.DataFrame(out, columns=["shard", "owner", "times"])
 
 
 def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -279,15 +287,14 @@ class Model:
         return np.where(times > 0, self.scale * d * times / max(self.n, 1), self.unknown)
 
 
-def backed_off(d: np.ndarray, history: np.ndarray, times: np.ndarray, lower: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each seen n-gram its probability; of each history its backoff weight.
+def backed_off(d: np.ndarray, history: np.ndarray, times: np.ndarray, total: np.ndarray, lower: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each n-gram its probability; of each history its backoff weight.
 
     ``history`` numbers the history of each n-gram, ``times`` counts it (all above 0),
-    ``lower`` is the lower order's probability of its word, and ``least`` by history
+    ``total`` counts each history (with n-grams that are left out), ``lower`` is the lower order's probability of its word, and ``least`` by history
     what the lower order gives unknown words, which are never among those seen.
     """
     kept_times = np.where(times > CUT, 1.0, d[np.minimum(times, CUT)]) * times
-    total = np.bincount(history, times, len(least))
     kept = np.bincount(history, kept_times, len(least))
     # where nothing would be left for other words, one more count stands for them
     total = total + (total - kept < total / (total + 1.0) * 0.999999)
@@ -326,31 +333,30 @@ class Shard:
 _WEIGHTS = "shard int, heads binary, total binary, names binary, times binary, pairs binary, p2 binary, alpha1 binary, contexts binary, grams binary, p3 binary, alpha2 binary"
 
 
-def _weights(m: Model):
+def _weights(m: Model, shards: int):
     """A shard's table with probabilities and weights; its names are all that may follow or come before."""
 
     def run(key: tuple, counted: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        none = np.zeros(0, U64)
-        names = np.concatenate([none, *(unpacked(x, U64, True) for x in answers["names"])])
-        times = np.concatenate([np.zeros(0, np.int64), *(unpacked(x, np.int64) for x in answers["times"])])
-        by = np.argsort(names)
-        names, times = names[by], times[by]
-        n = max(len(names), 1)
         rows = []
         for _, r in counted.iterrows():
             own = unpacked(r["names"], U64, True)
+            names = np.union1d(own, unpacked(r["asked"], U64, True))
+            n = max(len(names), 1)
+            times, owner = np.zeros(len(names), np.int64), _shard(names, shards)
+            for d, raw in zip(answers["owner"], answers["times"]):
+                times[owner == d] = unpacked(raw, np.int64)
             k = max(len(own), 1)
             to = np.searchsorted(names, own)
             heads, total = unpacked(r["heads"], U64, True), unpacked(r["total"], np.int64)
             pairs, contexts, grams = (unpacked(r[c], np.int64, True) for c in ("pairs", "contexts", "grams"))
             p1 = m.unigram(np.where(names == END, m.ends, times))
             head, word = pairs // k, to[pairs % k] if len(pairs) else pairs
-            p2, alpha1 = backed_off(m.more[0], head, unpacked(r["pair_times"], np.uint32).astype(np.int64), p1[word], np.full(len(heads), m.unknown))
+            p2, alpha1 = backed_off(m.more[0], head, unpacked(r["pair_times"], np.uint32).astype(np.int64), total, p1[word], np.full(len(heads), m.unknown))
             p3, alpha2 = np.zeros(0), np.zeros(0)
             if len(contexts):
                 ctx = grams // k
                 lower = p2[np.searchsorted(pairs, contexts[ctx] // k * k + grams % k)]
-                p3, alpha2 = backed_off(m.more[1], ctx, unpacked(r["gram_times"], np.uint32).astype(np.int64), lower, alpha1[contexts // k] * m.unknown)
+                p3, alpha2 = backed_off(m.more[1], ctx, unpacked(r["gram_times"], np.uint32).astype(np.int64), unpacked(r["context_total"], np.int64), lower, alpha1[contexts // k] * m.unknown)
                 grams = ctx * n + to[grams % k]
                 contexts = contexts // k * n + to[contexts % k]
             pairs = head * n + word
@@ -420,6 +426,7 @@ def trained(docs: DataFrame, order: int = 3) -> tuple[Model, DataFrame, int]:
     shards = max(4, -(-int(size) // SHARD_BYTES))
     sent = docs.mapInArrow(trimmed(_messages(shards, False, order)), _MESSAGE)
     counted = stored(sent.repartition(shards, "shard").groupBy("shard").applyInPandas(_counts(order), _COUNTS))
+    settle(docs.sparkSession)
     stats = np.zeros(3 + 3 * (CUT + 1), np.int64)
     for row in counted.where("kind = 0").select("data").toLocalIterator():
         stats += np.frombuffer(row.data, np.int64)
@@ -427,9 +434,12 @@ def trained(docs: DataFrame, order: int = 3) -> tuple[Model, DataFrame, int]:
     table = counted.where("kind = 1").drop("kind", "data")
     asked = table.select("shard", "names", "asked").mapInArrow(_asked(shards), _ASKED)
     owned = table.select(F.col("shard").alias("to"), "heads", "total")
-    answers = owned.groupBy("to").cogroup(asked.groupBy("to")).applyInPandas(_answers, "shard int, names binary, times binary")
-    weighted = table.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(_weights(m), _WEIGHTS)
-    return m, stored(weighted), shards
+    answers = owned.groupBy("to").cogroup(asked.groupBy("to")).applyInPandas(_answers, "shard int, owner int, times binary")
+    weighted = table.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(_weights(m, shards), _WEIGHTS)
+    weighted = stored(weighted)
+    forget(counted)
+    settle(docs.sparkSession)
+    return m, weighted, shards
 
 
 def scored(docs: DataFrame, order: int = 3) -> DataFrame:

@@ -8,9 +8,9 @@ the same document or another. Suffix arrays are only built where strings can rep
    places, so a repeated window has an anchor whose gram repeats. Anchors whose gram
    doesn't repeat go no further: all that hashes decide.
 2. Anchors of one gram with equal surroundings (LENGTH - GRAM bytes to the left, LENGTH
-   to the right of the start) are a class. Two members of each class (one, if it has but
-   one) go, as segments of text, to a suffix array shared by the segments of many grams,
-   so a group of copies of any size is as cheap as a pair.
+   to the right of the start) are a class. A member of each class goes, as a segment of
+   text, to a suffix array shared by the segments of many grams, and stands there twice
+   if the class has more members, so a group of copies of any size is as cheap as a pair.
 3. A scan with a stack over the array's common-prefix lengths gives the interval tree;
    an interval whose occurrences have different left neighbours is a maximal repeat,
    with all its occurrences. What is repeated in a class's segments is so, at the same
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX64, U64, Rolling, binaries, chunks, keyed, mix, stored, trimmed, width
+from .common import MAX64, U64, Rolling, binaries, chunks, forget, keyed, mix, settle, stored, trimmed, width
 
 LENGTH = 200
 GRAM = 64
@@ -92,15 +92,14 @@ def _anchors(length: int, gram: int):
             first = np.flatnonzero(new)
             n = np.diff(np.append(first, len(at)))
             pos = (at - off[doc]).astype(np.int32)
-            last = pos[np.append(first[1:], len(at)) - 1] if len(at) else pos
             rest = pos[~new]
             cut = np.concatenate([[0], np.cumsum(n - 1)])
             ids = rows.column("doc_id").to_numpy()
             for i in range(0, len(first), 50_000):
                 f, z = first[i : i + 50_000], min(i + 50_000, len(first))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[f].view(np.int64)), pa.array(around[f].view(np.int64)), pa.array(ids[doc[f]]), pa.array(pos[f]), pa.array(last[i:z]), pa.array(n[i:z].astype(np.int32)), binaries(rest[cut[i] : cut[z]], cut[i : z + 1] - cut[i])],
-                    ["h", "c", "doc_id", "pos", "last", "n", "more"],
+                    [pa.array(h[f].view(np.int64)), pa.array(around[f].view(np.int64)), pa.array(ids[doc[f]]), pa.array(pos[f]), pa.array(n[i:z].astype(np.int32)), binaries(rest[cut[i] : cut[z]], cut[i : z + 1] - cut[i])],
+                    ["h", "c", "doc_id", "pos", "n", "more"],
                 )
 
     return run
@@ -158,29 +157,29 @@ def maximal_repeats(t: np.ndarray, starts: np.ndarray, room: np.ndarray, left: n
                 stack.append((v, at))
 
 
-def _arrays(length: int, gram: int):
-    def owned(text, seg, base, pos):
-        """First and last window start (in text) of each segment of which the anchor is the leftmost minimum."""
-        h = Rolling(text).grams(gram)
-        h = np.concatenate([h, np.full(gram, MAX64)])
-        at = seg[:-1] + pos - base
-        first = np.maximum(seg[:-1], at - (length - gram))
-        last = np.minimum(at, seg[1:] - length)
-        step = np.arange(1, length - gram + 1)
-        for lo in range(0, len(at), 4096):
-            a, f, z = at[lo : lo + 4096], first[lo : lo + 4096], seg[1:][lo : lo + 4096]
-            x = a[:, None] - step
-            less = (h[np.maximum(x, 0)] <= h[a][:, None]) & (x >= f[:, None])
-            first[lo : lo + 4096] = np.where(less.any(1), a - less.argmax(1), f)
-            x = a[:, None] + step
-            less = (h[np.minimum(x, len(h) - 1)] < h[a][:, None]) & (x + gram <= z[:, None])
-            last[lo : lo + 4096] = np.where(less.any(1), np.minimum(last[lo : lo + 4096], a + less.argmax(1) - (length - gram)), last[lo : lo + 4096])
-        return first, last
-
+def owned(text: np.ndarray, seg: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start (in text) of the windows of each segment of which its anchor (at) is the leftmost minimum."""
+    h = Rolling(text).grams(gram)
+    h = np.concatenate([h, np.full(gram, MAX64)])
+    first = np.maximum(seg[:-1], at - (length - gram))
+    last = np.minimum(at, seg[1:] - length)
+    step = np.arange(1, length - gram + 1)
+    for lo in range(0, len(at), 4096):
+        a, f, z = at[lo : lo + 4096], first[lo : lo + 4096], seg[1:][lo : lo + 4096]
+        x = a[:, None] - step
+        less = (h[np.maximum(x, 0)] <= h[a][:, None]) & (x >= f[:, None])
+        first[lo : lo + 4096] = np.where(less.any(1), a - less.argmax(1), f)
+        x = a[:, None] + step
+        less = (h[np.minimum(x, len(h) - 1)] < h[a][:, None]) & (x + gram <= z[:, None])
+        last[lo : lo + 4096] = np.where(less.any(1), np.minimum(last[lo : lo + 4096], a + less.argmax(1) - (length - gram)), last[lo : lo + 4096])
+    return first, last
+
+
+def _arrays(length: int):
     def solve(h, c, pos, base, text, seg, lots):
         """Repeats among segments, as places relative to the anchor: (kind, x, y, h, c, start, end); x and y tell windows that other lots may hold."""
-        first, last = owned(text, seg, base, pos)
-        n = np.maximum(last - first + 1, 0)
+        first = seg[:-1]  # all windows of a segment are its anchor's
+        n = np.diff(seg) - length + 1
         which = np.repeat(np.arange(len(n)), n)
         before = np.concatenate([[0], np.cumsum(n)])[:-1]
         at = np.arange(len(which)) - before[which] + first[which]
@@ -191,7 +190,7 @@ def _arrays(length: int, gram: int):
             reach[found] = np.maximum(reach[found], size)
         hit = np.flatnonzero(reach)
         z = np.zeros(len(hit), np.int64)
-        # the two members of a class say the same, and what lies within the stretch before it says nothing
+        # both standings of a class say the same, and what lies within the stretch before it says nothing
         key = np.lexsort((-reach[hit], place[hit], c[which[hit]], h[which[hit]]))
         hit = hit[key]
         one, two, s, e = h[which[hit]], c[which[hit]], place[hit], place[hit] + reach[hit]
@@ -232,6 +231,9 @@ def _arrays(length: int, gram: int):
             texts = batch.column("segment").to_pylist()
             c, pos, base = (batch.column(x).to_numpy() for x in ("c", "pos", "base"))
             lots = batch.column("lots").to_numpy() > 1
+            times = 1 + batch.column("twice").to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = [t for t, n in zip(texts, times.tolist()) for _ in range(n)]
+            h, lot, c, pos, base, lots = (np.repeat(x, times) for x in (h, lot, c, pos, base, lots))
             cut = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (lot[1:] != lot[:-1])])).tolist() + [len(h)]
             for i, (a, z) in enumerate(zip(cut, cut[1:])):
                 if size > ARRAY_BYTES and not (i == 0 and held and held[-1][0][-1] == h[a] and held[-1][6] == lot[a]):
@@ -246,6 +248,8 @@ def _arrays(length: int, gram: int):
 
 
 def _segments(length: int, gram: int):
+    """Of each marked anchor the text of the windows that are its own."""
+
     def run(batches):
         for batch in batches:
             out: list = []
@@ -253,10 +257,18 @@ def _segments(length: int, gram: int):
                 raw = (text or "").encode()
                 for m in marks:
                     lo = max(0, m["pos"] - (length - gram))
-                    out.append((m["h"], m["c"], m["lot"], m["lots"], m["pos"], lo, raw[lo : m["pos"] + length]))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["h", "c", "lot", "lots", "pos", "base", "segment"])
+                    out.append((m["h"], m["c"], m["lot"], m["lots"], m["twice"], m["pos"], lo, raw[lo : m["pos"] + length]))
+            if not out:
+                continue
+            *cols, base, parts = zip(*out)
+            base = np.array(base)
+            seg = np.concatenate([[0], np.cumsum([len(t) for t in parts])]).astype(np.int64)
+            first, last = owned(np.frombuffer(b"".join(parts), np.uint8), seg, seg[:-1] + np.array(cols[-1]) - base, length, gram)
+            s, e = first - seg[:-1], last - seg[:-1] + length
+            keep = pa.array(last >= first)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.binary())
+            cols = [*cols, base + s, [t[i:j] for t, i, j in zip(parts, s.tolist(), e.tolist())]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k).filter(keep) for c, k in zip(cols, kinds)], ["h", "c", "lot", "lots", "twice", "pos", "base", "segment"])
 
     return run
 
@@ -277,20 +289,23 @@ def _placed(batches):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, start, end): byte spans, overlapping, that together cover every ``length``-byte string that also starts elsewhere; doc_id must tell texts apart."""
     n = width(docs.sparkSession)
-    found = docs.mapInArrow(_anchors(length, gram), "h long, c long, doc_id long, pos int, last int, n int, more binary")
+    found = docs.mapInArrow(_anchors(length, gram), "h long, c long, doc_id long, pos int, n int, more binary")
     # a table of its own, so that the join deals it anew and a hot gram can be split
     grams = stored(found.groupBy("h").agg(F.sum("n").alias("times")).where("times > 1").select("h"))
     again = stored(found.join(grams, "h"))
-    kinds = again.groupBy("h", "c").agg(F.sum("n").alias("times"), F.min(F.struct("doc_id", "pos")).alias("one"), F.max(F.struct("doc_id", F.col("last").alias("pos"))).alias("two"))
+    forget(grams)
+    settle(docs.sparkSession)
+    kinds = again.groupBy("h", "c").agg(F.sum("n").alias("times"), F.min(F.struct("doc_id", "pos")).alias("one"))
     kinds = stored(kinds)
-    lots = kinds.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
-    both = F.when(F.col("times") > 1, F.array("one", "two")).otherwise(F.array("one"))
-    marks = kinds.join(lots, "h").select("h", "c", F.pmod(F.xxhash64("c"), F.col("lots")).cast("int").alias("lot"), "lots", F.explode(both).alias("at"))
-    marks = marks.groupBy("at.doc_id").agg(F.collect_list(F.struct("h", "c", "lot", "lots", "at.pos")).alias("marks"))
+    lots = stored(kinds.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots")).where("lots > 1"))
+    marks = kinds.join(lots, "h", "left").withColumn("lots", F.coalesce("lots", F.lit(1))).select("h", "c", F.pmod(F.xxhash64("c"), F.col("lots")).cast("int").alias("lot"), "lots", (F.col("times") > 1).alias("twice"), "one.doc_id", "one.pos")
+    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("h", "c", "lot", "lots", "twice", "pos")).alias("marks"))
     placed = docs.repartition(n, "doc_id").join(marks, "doc_id").select("text", "marks")
-    segments = placed.mapInArrow(trimmed(_segments(length, gram)), "h long, c long, lot int, lots int, pos int, base long, segment binary")
-    solved = segments.repartition(n, "h", "lot").sortWithinPartitions("h", "lot").mapInArrow(trimmed(_arrays(length, gram)), "kind long, x long, y long, h long, c long, start long, end long")
+    segments = placed.mapInArrow(trimmed(_segments(length, gram)), "h long, c long, lot int, lots int, twice boolean, pos int, base long, segment binary")
+    solved = segments.repartition(n, "h", "lot").sortWithinPartitions("h", "lot").mapInArrow(trimmed(_arrays(length)), "kind long, x long, y long, h long, c long, start long, end long")
     solved = stored(solved)
+    forget(kinds, lots)
+    settle(docs.sparkSession)
     windows = solved.where("kind = 1")
     shared = windows.groupBy("x", "y").agg(F.min(F.struct("h", "c", "start")).alias("lo"), F.max(F.struct("h", "c", "start")).alias("hi")).where("lo <> hi").select("x", "y")
     across = windows.join(shared, ["x", "y"], "left_semi")

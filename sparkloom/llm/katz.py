@@ -38,8 +38,8 @@ FOLDS, FOLD = 7, 2
 CUT = 5
 #: A block ends at about so many tokens, or this many texts.
 BLOCK_TOKENS, BLOCK_TEXTS = 1_500_000, 30_000
-#: Text for each shard.
-SHARD_BYTES = 8 << 20
+#: Text for each shard: larger ones repeat fewer words in messages and tables, smaller ones take less memory.
+SHARD_BYTES = 24 << 20
 #: Trigrams of fewer training tokens are left to their bigrams (discounted to nothing): the table holds those that repeat, not the whole corpus again.
 LEAST = 2
 #: Stand for the start of a text (a history only) and its end (a word only).
@@ -174,7 +174,7 @@ def _counts(order: int):
             kinds[2].append(unpacked(rest, np.uint32).astype(np.int64))
         del m, messages, heads, names
         ctx, word, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in kinds)
-        kinds.clear()
+        del kinds
         total = np.bincount(ctx // n, times, len(all_heads)).astype(np.int64)
         pairs, at = np.unique(ctx // n * n + word, return_inverse=True)
         pair_times = np.bincount(at, times, len(pairs)).astype(np.int64)

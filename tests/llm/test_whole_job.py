@@ -67,6 +67,7 @@ def test_passages_of_hot_values(spark, monkeypatch):
     docs = near_pairs(random.Random(11), 60, 60, [30], 60)
     monkeypatch.setattr(passages, "LOT", 1)
     monkeypatch.setattr(passages, "FEW", 1)
+    monkeypatch.setattr(passages, "PARTS", 1)
     assert found(spark, docs) == set(range(len(docs)))
 
 
@@ -124,6 +125,7 @@ def test_passages_without_a_common_leader(spark, monkeypatch):
     assert found(spark, docs) == set(range(len(docs)))
     monkeypatch.setattr(passages, "LOT", 1)
     monkeypatch.setattr(passages, "FEW", 1)
+    monkeypatch.setattr(passages, "PARTS", 1)
     assert found(spark, docs) == set(range(len(docs)))
 
 

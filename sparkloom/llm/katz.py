@@ -1,7 +1,7 @@
 """Katz backoff scoring of whole texts with trigrams.
 
 Tokens are the A-Z-lowered words and one end per text. Training counts are discounted
-by Good-Turing (counts up to CUT; trigrams under LEAST to nothing), and what is left goes
+by Good-Turing (counts up to CUT), and what is left goes
 to the lower order with weights that normalise exactly; below the unigrams, the mass left
 goes to one class of unknown words.
 
@@ -40,8 +40,8 @@ CUT = 5
 BLOCK_TOKENS, BLOCK_TEXTS = 1_500_000, 30_000
 #: Text for each shard: larger ones repeat fewer words in messages and tables, smaller ones take less memory.
 SHARD_BYTES = 24 << 20
-#: Trigrams of fewer training tokens are left to their bigrams (discounted to nothing): the table holds those that repeat, not the whole corpus again.
-LEAST = 2
+#: Trigrams of fewer training tokens would be left to their bigrams; 1 keeps all.
+LEAST = 1
 #: Stand for the start of a text (a history only) and its end (a word only).
 START, END = U64(0x5354415254), U64(0x454E44)
 

@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import gc
 import time
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -228,6 +229,19 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As ``stored``, in buckets of a key: what is dealt by it into as many partitions meets the table without a shuffle of the table."""
+    spark = df.sparkSession
+    path = fresh_path(spark, "table")
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.table(name)
+    out.stored_at, out.stored_name = path, name
+    return out
+
+
 def settle(spark: SparkSession) -> None:
     """Waits a moment and collects again: right after a large step its shuffle files may still be held by events on their way."""
     time.sleep(1)
@@ -240,5 +254,7 @@ def forget(*tables: DataFrame) -> None:
     """Deletes stored tables from the shared folder, once all that is read from them is stored itself."""
     for table in tables:
         spark = table.sparkSession
+        if hasattr(table, "stored_name"):
+            spark.sql(f"DROP TABLE IF EXISTS {table.stored_name}")
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

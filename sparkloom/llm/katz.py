@@ -8,7 +8,8 @@ goes to one class of unknown words.
 N-grams are dealt into shards by the word before the last one: a shard has all bigrams
 and trigrams in which that word comes next to last, so both orders of a token are at
 one place. A map task sends each shard one packed message per block of texts, so neither
-counts nor scores pass through single rows. Two tables by shard are stored:
+counts nor scores pass through single rows. Two tables are stored in
+buckets by shard, so neither is shuffled when it is read:
 
 * ``counted``: the n-gram counts. As a history each word is counted in its own shard,
   which makes the unigram counts.
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, forget, mix, packed, settle, stored, texts, trimmed, unpacked, width, word_hashes
+from .common import U64, bucketed, chunks, forget, mix, packed, settle, texts, trimmed, unpacked, width, word_hashes
 
 FOLDS, FOLD = 7, 2
 #: Counts above this are not discounted.
@@ -39,9 +40,7 @@ CUT = 5
 #: A block ends at about so many tokens, or this many texts.
 BLOCK_TOKENS, BLOCK_TEXTS = 1_500_000, 30_000
 #: Text for each shard: larger ones repeat fewer words in messages and tables, smaller ones take less memory.
-SHARD_BYTES = 24 << 20
-#: Trigrams of fewer training tokens would be left to their bigrams; 1 keeps all.
-LEAST = 1
+SHARD_BYTES = 16 << 20
 #: Stand for the start of a text (a history only) and its end (a word only).
 START, END = U64(0x5354415254), U64(0x454E44)
 
@@ -152,6 +151,15 @@ def _messages(shards: int, score: bool, order: int):
     return run
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+
+
 _COUNTS = "kind int, shard int, data binary, heads binary, total binary, names binary, asked binary, pairs binary, pair_times binary, contexts binary, context_total binary, grams binary, gram_times binary"
 
 
@@ -166,33 +174,40 @@ def _counts(order: int):
         none = [np.zeros(0, U64)]
         all_heads, all_names = np.unique(np.concatenate(heads or none)), np.unique(np.concatenate(names or none))
         n = max(len(all_names), 1)
-        kinds: list = [[], [], []]
+        keys, times = [], []
         for hs, ns, runs, before, word, rest in zip(heads, names, m["runs"], m["before"], m["word"], m["rest"]):
             to = np.searchsorted(all_names, ns)
-            kinds[0].append(np.repeat(np.searchsorted(all_heads, hs), unpacked(runs, np.uint32)) * n + to[_unindexed(before, len(ns))])
-            kinds[1].append(to[_unindexed(word, len(ns))])
-            kinds[2].append(unpacked(rest, np.uint32).astype(np.int64))
+            ctx = np.repeat(np.searchsorted(all_heads, hs), unpacked(runs, np.uint32)) * n + to[_unindexed(before, len(ns))]
+            keys.append(ctx * n + to[_unindexed(word, len(ns))])
+            times.append(unpacked(rest, np.uint32))
         del m, messages, heads, names
-        ctx, word, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in kinds)
-        del kinds
-        total = np.bincount(ctx // n, times, len(all_heads)).astype(np.int64)
-        pairs, at = np.unique(ctx // n * n + word, return_inverse=True)
-        pair_times = np.bincount(at, times, len(pairs)).astype(np.int64)
+        keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        times = np.concatenate(times) if times else np.zeros(0, np.uint32)
+        # one sort serves all orders: the head leads, then the word before it
+        by = np.argsort(keys)
+        keys, times = keys[by], times[by]
+        del by
+        first = _runs(keys)
+        keys, gram_times = keys[first], _sums(times, first)
+        del times, first
+        pairs, at = np.unique(keys // (n * n) * n + keys % n, return_inverse=True)
+        pair_times = np.bincount(at, gram_times, len(pairs)).astype(np.int64)
+        del at
+        total = np.bincount(pairs // n, pair_times, len(all_heads)).astype(np.int64)
         if order > 2:
-            contexts, at = np.unique(ctx, return_inverse=True)
-            context_total = np.bincount(at, times, len(contexts)).astype(np.int64)
-            grams, at = np.unique(at * n + word, return_inverse=True)
-            gram_times = np.bincount(at, times, len(grams)).astype(np.int64)
+            ctx = keys // n
+            first = _runs(ctx)
+            contexts, context_total = ctx[first], _sums(gram_times, first)
+            grams = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(ctx)))) * n + keys % n
+            del ctx, first
         else:
             contexts = context_total = grams = gram_times = np.zeros(0, np.int64)
+        del keys
         real = all_heads != START
         one = total[real]
         stats = [int(one.sum()), int(real.sum()), int(total[~real].sum())]
         for x in (one, pair_times, gram_times):
             stats += [int((x == r).sum()) for r in range(1, CUT + 2)]
-        kept = gram_times >= LEAST
-        used, at = np.unique(grams[kept] // n, return_inverse=True)
-        grams, gram_times, contexts, context_total = at * n + grams[kept] % n, gram_times[kept], contexts[used], context_total[used]
         # of the words that come before only those of contexts that are left have a name
         to = np.zeros(n, np.int64)
         to[pairs % n] = to[contexts % n] = 1
@@ -425,7 +440,7 @@ def trained(docs: DataFrame, order: int = 3) -> tuple[Model, DataFrame, int]:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-int(size) // SHARD_BYTES))
     sent = docs.mapInArrow(trimmed(_messages(shards, False, order)), _MESSAGE)
-    counted = stored(sent.repartition(shards, "shard").groupBy("shard").applyInPandas(_counts(order), _COUNTS))
+    counted = bucketed(sent.repartition(shards, "shard").groupBy("shard").applyInPandas(_counts(order), _COUNTS), "shard", shards)
     settle(docs.sparkSession)
     stats = np.zeros(3 + 3 * (CUT + 1), np.int64)
     for row in counted.where("kind = 0").select("data").toLocalIterator():
@@ -435,8 +450,9 @@ def trained(docs: DataFrame, order: int = 3) -> tuple[Model, DataFrame, int]:
     asked = table.select("shard", "names", "asked").mapInArrow(_asked(shards), _ASKED)
     owned = table.select(F.col("shard").alias("to"), "heads", "total")
     answers = owned.groupBy("to").cogroup(asked.groupBy("to")).applyInPandas(_answers, "shard int, owner int, times binary")
+    answers = answers.repartition(shards, "shard")
     weighted = table.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(_weights(m, shards), _WEIGHTS)
-    weighted = stored(weighted)
+    weighted = bucketed(weighted, "shard", shards)
     forget(counted)
     settle(docs.sparkSession)
     return m, weighted, shards

@@ -218,14 +218,11 @@ def katz_by_hand(w, held, cut=5):
             if not seen:
                 return lower(*g[1:])
             total = sum(seen.values())
-            seen = {t: c for t, c in seen.items() if k < 2 or c >= katz.LEAST}
             kept = sum(disc(k, c) for c in seen.values())
             if total - kept < total / (total + 1) * 0.999999:
                 total += 1
-            if g[-1] in seen:  # left out where it is too rare
+            if g[-1] in seen:
                 return disc(k, seen[g[-1]]) / total
-            if not seen:
-                return lower(*g[1:])
             rest = 1 - sum(lower(*g[1:-1], t) for t in seen)
             return (1 - kept / total) / max(rest, lower(*g[1:-1], None)) * lower(*g[1:])
 

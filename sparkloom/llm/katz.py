@@ -16,7 +16,7 @@ buckets by shard, so neither is shuffled when it is read:
 * ``weighted``: the same with the backoff weights, and the unigram counts of all words
   that may follow, asked of the shards that own them.
 
-A text's tokens then go to the shards of their histories; each is looked up from the
+A text's tokens then go to the shards of their histories, in ROUNDS of texts; each is looked up from the
 trigram down, and scores come back as sums per text and shard. The number of shards
 follows the bytes of text, so a shard's size doesn't.
 """
@@ -24,6 +24,7 @@ follows the bytes of text, so a shard's size doesn't.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bucketed, chunks, forget, mix, packed, settle, texts, trimmed, unpacked, width, word_hashes
+from .common import U64, bucketed, chunks, forget, mix, packed, settle, stored, texts, trimmed, unpacked, width, word_hashes
 
 FOLDS, FOLD = 7, 2
 #: Counts above this are not discounted.
@@ -41,6 +42,8 @@ CUT = 5
 BLOCK_TOKENS, BLOCK_TEXTS = 1_500_000, 30_000
 #: Text for each shard: larger ones repeat fewer words in messages and tables, smaller ones take less memory.
 SHARD_BYTES = 16 << 20
+#: Texts are scored in so many rounds, by a hash of doc_id: the messages of one are there at a time.
+ROUNDS = 3
 #: Stand for the start of a text (a history only) and its end (a word only).
 START, END = U64(0x5354415254), U64(0x454E44)
 
@@ -468,7 +471,13 @@ def scored(docs: DataFrame, order: int = 3) -> DataFrame:
     """
     m, table, shards = trained(docs, order)
     docs = texts(docs)
-    sent = docs.mapInArrow(trimmed(_messages(shards, True, order)), _MESSAGE)
-    parts = sent.repartition(shards, "shard").groupBy("shard").cogroup(table.groupBy("shard")).applyInPandas(_partials(m), _PARTS)
     run, schema = _gathered(m)
-    return parts.repartition(width(docs.sparkSession), "block").groupBy("block").applyInPandas(run, schema)
+    out = []
+    for i in range(ROUNDS):
+        own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == i)
+        sent = own.mapInArrow(trimmed(_messages(shards, True, order)), _MESSAGE)
+        parts = sent.repartition(shards, "shard").groupBy("shard").cogroup(table.groupBy("shard")).applyInPandas(_partials(m), _PARTS)
+        out.append(stored(parts.repartition(width(docs.sparkSession), "block").groupBy("block").applyInPandas(run, schema)))
+        settle(docs.sparkSession)
+    forget(table)
+    return reduce(DataFrame.unionByName, out)

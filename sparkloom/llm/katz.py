@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bucketed, chunks, forget, mix, packed, settle, stored, texts, trimmed, unpacked, width, word_hashes
+from .common import U64, bucketed, chunks, forget, mix, packed, settle, stored, texts, trim, trimmed, unpacked, width, word_hashes
 
 FOLDS, FOLD = 7, 2
 #: Counts above this are not discounted.
@@ -42,6 +42,8 @@ CUT = 5
 BLOCK_TOKENS, BLOCK_TEXTS = 1_500_000, 30_000
 #: Text for each shard: larger ones repeat fewer words in messages and tables, smaller ones take less memory.
 SHARD_BYTES = 16 << 20
+#: Trigrams whose weights are worked out at a time.
+SLICE = 1_000_000
 #: Texts are scored in so many rounds, by a hash of doc_id: the messages of one are there at a time.
 ROUNDS = 3
 #: Stand for the start of a text (a history only) and its end (a word only).
@@ -154,6 +156,30 @@ def _messages(shards: int, score: bool, order: int):
     return run
 
 
+def _lean(f):
+    """f for a grouped table, giving free memory back before and after."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        trim()
+        out = f(key, rows)
+        trim()
+        return out
+
+    return run
+
+
+def _lean_pair(f):
+    """As ``_lean``, for two tables grouped alike."""
+
+    def run(key: tuple, rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        trim()
+        out = f(key, rows, others)
+        trim()
+        return out
+
+    return run
+
+
 def _runs(x: np.ndarray) -> np.ndarray:
     """Where the runs of equal values start."""
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
@@ -372,10 +398,19 @@ def _weights(m: Model, shards: int):
             p2, alpha1 = backed_off(m.more[0], head, unpacked(r["pair_times"], np.uint32).astype(np.int64), total, p1[word], np.full(len(heads), m.unknown))
             p3, alpha2 = np.zeros(0), np.zeros(0)
             if len(contexts):
-                ctx = grams // k
-                lower = p2[np.searchsorted(pairs, contexts[ctx] // k * k + grams % k)]
-                p3, alpha2 = backed_off(m.more[1], ctx, unpacked(r["gram_times"], np.uint32).astype(np.int64), unpacked(r["context_total"], np.int64), lower, alpha1[contexts // k] * m.unknown)
-                grams = ctx * n + to[grams % k]
+                gram_times, context_total = unpacked(r["gram_times"], np.uint32), unpacked(r["context_total"], np.int64)
+                p3, alpha2 = np.zeros(len(grams), np.float32), np.zeros(len(contexts), np.float32)
+                first = np.searchsorted(grams, np.arange(len(contexts) + 1) * k)
+                i = 0
+                while i < len(contexts):  # whole contexts, about SLICE trigrams at a time
+                    j = max(i + 1, int(np.searchsorted(first, first[i] + SLICE, "right")) - 1)
+                    own_ = slice(first[i], first[j])
+                    ctx, word_ = grams[own_] // k - i, grams[own_] % k
+                    lower = p2[np.searchsorted(pairs, contexts[i:j][ctx] // k * k + word_)]
+                    p3[own_], alpha2[i:j] = backed_off(m.more[1], ctx, gram_times[own_].astype(np.int64), context_total[i:j], lower, alpha1[contexts[i:j] // k] * m.unknown)
+                    grams[own_] = (ctx + i) * n + to[word_]
+                    i = j
+                del gram_times, context_total, first
                 contexts = contexts // k * n + to[contexts % k]
             pairs = head * n + word
             table = [packed(heads, True), packed(total), packed(names, True), packed(times), packed(pairs, True), packed(p2.astype(np.float32)), packed(alpha1)]
@@ -443,7 +478,7 @@ def trained(docs: DataFrame, order: int = 3) -> tuple[Model, DataFrame, int]:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-int(size) // SHARD_BYTES))
     sent = docs.mapInArrow(trimmed(_messages(shards, False, order)), _MESSAGE)
-    counted = bucketed(sent.repartition(shards, "shard").groupBy("shard").applyInPandas(_counts(order), _COUNTS), "shard", shards)
+    counted = bucketed(sent.repartition(shards, "shard").groupBy("shard").applyInPandas(_lean(_counts(order)), _COUNTS), "shard", shards)
     settle(docs.sparkSession)
     stats = np.zeros(3 + 3 * (CUT + 1), np.int64)
     for row in counted.where("kind = 0").select("data").toLocalIterator():
@@ -454,7 +489,7 @@ def trained(docs: DataFrame, order: int = 3) -> tuple[Model, DataFrame, int]:
     owned = table.select(F.col("shard").alias("to"), "heads", "total")
     answers = owned.groupBy("to").cogroup(asked.groupBy("to")).applyInPandas(_answers, "shard int, owner int, times binary")
     answers = answers.repartition(shards, "shard")
-    weighted = table.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(_weights(m, shards), _WEIGHTS)
+    weighted = table.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(_lean_pair(_weights(m, shards)), _WEIGHTS)
     weighted = bucketed(weighted, "shard", shards)
     forget(counted)
     settle(docs.sparkSession)
@@ -476,7 +511,7 @@ def scored(docs: DataFrame, order: int = 3) -> DataFrame:
     for i in range(ROUNDS):
         own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == i)
         sent = own.mapInArrow(trimmed(_messages(shards, True, order)), _MESSAGE)
-        parts = sent.repartition(shards, "shard").groupBy("shard").cogroup(table.groupBy("shard")).applyInPandas(_partials(m), _PARTS)
+        parts = sent.repartition(shards, "shard").groupBy("shard").cogroup(table.groupBy("shard")).applyInPandas(_lean_pair(_partials(m)), _PARTS)
         out.append(stored(parts.repartition(width(docs.sparkSession), "block").groupBy("block").applyInPandas(run, schema)))
         settle(docs.sparkSession)
     forget(table)

@@ -244,6 +244,7 @@ def katz_by_hand(w, held, cut=5):
 def test_katz(spark, texts, order, monkeypatch):
     monkeypatch.setattr(katz, "SHARD_BYTES", 3000)
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 700)
+    monkeypatch.setattr(katz, "SLICE", 50)
     r = random.Random(6)
     more = [*texts, *(" ".join(r.choice("the a of cat dog sat on mat and ran".split()) for _ in range(r.randint(1, 60))) for _ in range(80))]
     got = {x.doc_id: x for x in katz.scored(frame(spark, more), order).collect()}

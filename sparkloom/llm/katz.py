@@ -45,7 +45,7 @@ SHARD_BYTES = 16 << 20
 #: Trigrams whose weights are worked out at a time.
 SLICE = 1_000_000
 #: Texts are scored in so many rounds, by a hash of doc_id: the messages of one are there at a time.
-ROUNDS = 3
+ROUNDS = 4
 #: Stand for the start of a text (a history only) and its end (a word only).
 START, END = U64(0x5354415254), U64(0x454E44)
 

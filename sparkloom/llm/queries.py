@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, katz, kd_search, minhash, passages, quality, suffix_dedup, token_counts, toxicity
+from . import alignment, bpe, decontamination, katz, kd_search, minhash, passages, piece_bpe, quality, resampling, suffix_dedup, token_counts, toxicity
 from .common import documents
 
 
@@ -67,8 +67,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("n_words")
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digests(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_search, op2_suffix_dedup, op3_bpe, op4_decontamination, op5_compact_windows, op6_token_counts, op7_katz, op8_minhash, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_kd_search, op2_suffix_dedup, op3_bpe, op4_decontamination, op5_compact_windows, op6_token_counts, op7_katz, op8_minhash, op9_quality, op10_toxicity, op11_resampling, op12_piece_bpe, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,7 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,38 +30,34 @@ from pyspark.sql import functions as F
 
 from .bpe import Codec
 from .common import by_bytes, packed, stored, texts, trim, trimmed, unpacked
-from .piece_bpe import PieceCodec
+from .piece_bpe import LATIN, PieceCodec
 
 CHUNK_BYTES = 1 << 18
 #: Text in a block, and what a block's units may take, about.
-BLOCK_BYTES = 4 << 20
-UNIT_BYTES = 24 << 20
-#: A blank after another letter than a blank and before one that is no white space.
+BLOCK_BYTES = 16 << 20
+UNIT_BYTES = 48 << 20
+#: Pieces of A that a task keeps.
+PIECES = 100_000
+#: Between anything but a blank and a blank before something that is no white space; and between a letter and a sign.
 CUT = re.compile(r"(?<=[^ ])(?= \S)")
+FINE = re.compile(rf"(?<=[{LATIN}])(?=[^\w\s])")
 #: A blank that white space follows, or nothing.
 ODD = re.compile(r" (?:\s|\Z)")
 
 
-class Unit:
-    """The aligned tokens of a unit."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "text", "links", "good")
-
-    def __init__(self, a: list[int], b: list[int], groups: list[tuple[list[int], list[int]]], links: np.ndarray, good: bool):
-        self.n_a, self.n_b, self.n_groups, self.links, self.good = len(a), len(b), len(groups), links, good
-        self.text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-
-
 def overlaps(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """For each A token the first and last B token (one more) that it overlaps; tokens follow one another from 0, and ends are given."""
+    """For each A token the first B token that it overlaps and the one after the last; tokens follow one another from 0, and ends are given."""
     b_starts = [0, *b_ends[:-1]]
-    return [(bisect_right(b_ends, s), bisect_left(b_starts, e)) for s, e in zip([0, *a_ends[:-1]], a_ends)]
+    out, start = [], 0
+    for end in a_ends:
+        out.append((bisect_right(b_ends, start), bisect_left(b_starts, end)))
+        start = end
+    return out
 
 
 def cut_groups(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
     """How many tokens of A and of B end at or before each gap that no token spans."""
-    shared = set(a_ends).intersection(b_ends)
-    return [(bisect_right(a_ends, e), bisect_right(b_ends, e)) for e in sorted(shared)]
+    return [(bisect_right(a_ends, e), bisect_right(b_ends, e)) for e in sorted(set(a_ends).intersection(b_ends))]
 
 
 class Aligner:
@@ -67,11 +66,14 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = Codec(path_a), PieceCodec(path_b)
         self.a_sizes = np.diff(self.a.cut).tolist()
+        self.b_sizes = list(map(len, self.b.raw_of))
+        self.names = list(map(str, range(max(len(self.a_sizes), len(self.b_sizes)))))
         self.pieces: dict[str, list[int]] = {}
 
     def encode_a(self, units: list[str]) -> list[list[int]]:
-        cut = [self.a.pieces.findall(u) for u in units]
-        new = list({x for found in cut for x in found if x not in self.pieces})
+        findall, pieces = self.a.pieces.findall, self.pieces
+        cut = [[u] if u[1:].isalpha() and (u[0] == " " or u[0].isalpha()) else findall(u) for u in units]
+        new = list({x for found in cut for x in found if x not in pieces})
         at = 0
         while at < len(new):
             part, size = [], 0
@@ -79,41 +81,54 @@ class Aligner:
                 part.append(new[at])
                 size += len(new[at])
                 at += 1
-            self.pieces.update(zip(part, self.a.encode_pieces(part)))
-        out = [[i for x in found for i in self.pieces[x]] for found in cut]
-        if len(self.pieces) > 50_000 or sum(map(len, new)) > CHUNK_BYTES:
-            self.pieces.clear()
+            pieces.update(zip(part, self.a.encode_pieces(part)))
+        out = [pieces[found[0]] if len(found) == 1 else [i for x in found for i in pieces[x]] for found in cut]
+        if len(pieces) > PIECES or sum(map(len, new)) > CHUNK_BYTES:
+            pieces.clear()
         return out
 
-    def units(self, new: list[str]) -> list[Unit]:
-        """Units as the two tokenizers cut them; a unit is given without the blank that it starts with."""
-        out = []
-        with_blank = [" " + u for u in new]
-        for unit, a in zip(with_blank, self.encode_a(with_blank)):
+    def units(self, new: list[str]) -> Iterator[tuple[int, int, int, str, list[int]]]:
+        """Of each unit: its numbers of A tokens, B tokens and groups, the groups as text, and its links (A id and B id in one number). A unit whose bytes one side doesn't give back has -1 groups."""
+        a_sizes, b_sizes, names = self.a_sizes, self.b_sizes, self.names
+        for unit, a in zip(new, self.encode_a(new)):
             b = self.b.encode_unit(unit)
-            whole = unit.encode()
-            if b"".join(map(self.a.raw, a)) != whole or self.b.raw(b) != whole:
-                out.append(Unit([], [], [], np.zeros(0, np.int64), False))
+            a_ends = list(accumulate([a_sizes[i] for i in a]))
+            b_ends = list(accumulate([b_sizes[i] for i in b]))
+            n = len(unit) if unit.isascii() else len(unit.encode())
+            # tokens spell the unit, but for U+2581, of which B makes a shorter blank
+            if a_ends[-1] != n or b_ends[-1] != n:
+                yield 0, 0, -1, "", []
+                continue
+            a_names, b_names = [names[i] for i in a], [names[i] for i in b]
+            if a_ends == b_ends:  # each token has its like
+                yield len(a), len(b), len(a), ";".join([f"{x}|{y}" for x, y in zip(a_names, b_names)]), [i << 32 | j for i, j in zip(a, b)]
                 continue
-            a_ends = np.cumsum([self.a_sizes[i] for i in a]).tolist()
-            b_ends = np.cumsum([len(self.b.raw_of[i]) for i in b]).tolist()
             links = [i << 32 | j for i, (lo, hi) in zip(a, overlaps(a_ends, b_ends)) for j in b[lo:hi]]
             groups, x, y = [], 0, 0
             for p, q in cut_groups(a_ends, b_ends):
-                groups.append((a[x:p], b[y:q]))
+                groups.append(f"{a_names[x] if p == x + 1 else ','.join(a_names[x:p])}|{b_names[y] if q == y + 1 else ','.join(b_names[y:q])}")
                 x, y = p, q
-            out.append(Unit(a, b, groups, np.array(links, np.int64), True))
-        return out
+            yield len(a), len(b), len(groups), ";".join(groups), links
 
     def cut(self, text: str) -> list[str]:
-        """The units of a text, each without its first blank."""
+        """The units of a text, with the blank before it. A side's tokens never reach over the borders of units."""
         if not text:
             return []
         if not self.b.cuts:
-            return [text]
+            return [" " + text]
         if ODD.search(text) or text[0].isspace():
-            return [u[1:] for u in CUT.split(" " + text)]
-        return text.split(" ")
+            parts = CUT.split(" " + text)
+        else:
+            parts = (" " + text.replace(" ", "\0 ")).split("\0") if "\0" not in text else [" " + p for p in text.split(" ")]
+        if not self.b.fine:
+            return parts
+        out: list[str] = []
+        for p in parts:
+            if p[1:].isalpha():
+                out.append(p)
+            else:
+                out.extend(FINE.split(p))
+        return out
 
 
 class _Block:
@@ -121,54 +136,66 @@ class _Block:
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.units: list[Unit] = []
-        self.docs: list[tuple] = []
+        self.texts: list[str] = []
+        self.counts = array("q")  # A tokens, B tokens, groups and links of each unit
+        self.links = array("q")
+        self.ids: list[int] = []
+        self.digests: list[str] = []
         self.made: list[np.ndarray] = []
         self.bytes = self.held = 0
 
     def add(self, one: Aligner, ids: list[int], batch: list[str]) -> None:
         cut = [one.cut(t) for t in batch]
-        new = list({u for units in cut for u in units if u not in self.number})
-        for u, unit in zip(new, one.units(new)):
-            self.number[u] = len(self.units)
-            self.units.append(unit)
-            self.held += 400 + 2 * len(u) + len(unit.text) + 8 * len(unit.links)
-        for i, found in zip(ids, cut):
-            at = list(map(self.number.__getitem__, found))
-            units = list(map(self.units.__getitem__, at))
-            good = bool(units) and all(u.good for u in units)
-            if good:
-                digest = hashlib.sha256(";".join([u.text for u in units]).encode()).hexdigest()
-                counts = [sum(u.n_a for u in units), sum(u.n_b for u in units), sum(u.n_groups for u in units), sum(len(u.links) for u in units)]
-            else:
-                at, digest, counts = [], "", [0, 0, 0, 0]
-            self.docs.append((i, *counts, digest))
+        number = self.number
+        new = list({u for units in cut for u in units if u not in number})
+        for u, (n_a, n_b, n_groups, text, links) in zip(new, one.units(new)):
+            number[u] = len(self.texts)
+            self.texts.append(text)
+            self.counts.extend((n_a, n_b, n_groups, len(links)))
+            self.links.extend(links)
+            self.held += 250 + 2 * len(u) + len(text) + 8 * len(links)
+        texts = self.texts
+        for units in cut:
+            at = [number[u] for u in units]
+            self.digests.append(hashlib.sha256(";".join([texts[k] for k in at]).encode()).hexdigest())
             self.made.append(np.array(at, np.int32))
+        self.ids.extend(ids)
         self.bytes += sum(map(len, batch))
 
     def row(self, block: int) -> dict:
         """The block as one row: documents, their units, the units' links as slots of the block's pairs, and the pairs with their numbers of links here."""
-        made = np.concatenate(self.made) if self.made else np.zeros(0, np.int32)
-        times = np.bincount(made, minlength=len(self.units))
-        sizes = np.array([len(u.links) for u in self.units], np.int32)
-        links = np.concatenate([u.links for u in self.units]) if self.units else np.zeros(0, np.int64)
+        counts = np.frombuffer(self.counts, np.int64).reshape(-1, 4) if len(self.counts) else np.zeros((0, 4), np.int64)
+        sizes = np.array([len(x) for x in self.made], np.int32)
+        made = np.concatenate(self.made)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        bad = _sums((counts[:, 2] < 0).astype(np.int64)[made], ends) > 0
+        made = made[np.repeat(~bad, sizes)]  # texts that have no tokens link nothing
+        sizes[bad] = 0
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        of_docs = [_sums(counts[made, k], ends).tolist() for k in range(4)]
+        times = np.bincount(made, minlength=len(counts))
+        links = np.frombuffer(self.links, np.int64) if len(self.links) else np.zeros(0, np.int64)
         pairs, slots = np.unique(links, return_inverse=True)
-        n = np.bincount(slots, np.repeat(times, sizes).astype(float), len(pairs)).astype(np.int64)
-        used = n > 0  # units of texts that have no tokens link nothing
-        slot = np.cumsum(used) - 1
-        keep = used[slots]
-        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes)).astype(np.int32)
+        n = np.bincount(slots, np.repeat(times, counts[:, 3]).astype(float), len(pairs)).astype(np.int64)
+        digests = [d if k else "" for d, k in zip(self.digests, sizes.tolist())]
         return {
             "block": block,
-            "docs": [dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"), d)) for d in self.docs],
+            "docs": [dict(zip(_NAMES, d)) for d in zip(self.ids, *of_docs, digests)],
             "made": packed(made),
-            "sizes": packed(np.array([len(x) for x in self.made], np.int32)),
-            "unit_sizes": packed(sizes),
-            "slots": packed(slot[slots[keep]].astype(np.int32)),
-            "pairs": [{"key": k, "n": m} for k, m in zip(pairs[used].tolist(), n[used].tolist())],
+            "sizes": packed(sizes),
+            "unit_sizes": packed(counts[:, 3].astype(np.int32)),
+            "slots": packed(slots.astype(np.int32)),
+            "pairs": [{"key": k, "n": m} for k, m in zip(pairs.tolist(), n.tolist())],
         }
 
 
+def _sums(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of x between neighbouring ends."""
+    total = np.concatenate([[0], np.cumsum(x)])[ends]
+    return total[1:] - total[:-1]
+
+
+_NAMES = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 _DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _BLOCK = f"block long, docs array<struct<{_DOC.replace(' ', ': ').replace(',:', ',')}>>, made binary, sizes binary, unit_sizes binary, slots binary, pairs array<struct<key: long, n: long>>"
 _doc_type = pa.struct([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in _DOC.split(", ")])
@@ -185,7 +212,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([block.row(first + n)], _block_type)
                 block, n = _Block(), n + 1
                 trim()
-        if block.docs:
+        if block.ids:
             yield pa.RecordBatch.from_pylist([block.row(first + n)], _block_type)
 
     return stored(texts(docs).mapInArrow(trimmed(run), _BLOCK))
@@ -226,13 +253,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 cut = np.concatenate([[0], np.cumsum(unit_sizes, dtype=np.int64)])
                 ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
-                def summed(x):
-                    of_links = np.concatenate([[0], np.cumsum(x[slots])])
-                    of_units = np.concatenate([[0], np.cumsum((of_links[cut[1:]] - of_links[cut[:-1]])[made])])
-                    return of_units[ends[1:]] - of_units[ends[:-1]]
-
                 columns = {c.name: docs.field(c.name) for c in _doc_type}
-                columns |= {"n_best": pa.array(summed(best), pa.int64()), "count_sum": pa.array(summed(count), pa.int64())}
+                columns |= {"n_best": pa.array(_sums(_sums(best[slots], cut)[made], ends), pa.int64()), "count_sum": pa.array(_sums(_sums(count[slots], cut)[made], ends), pa.int64())}
                 yield pa.RecordBatch.from_arrays([columns[c] for c in _OUT], _OUT)
 
     return blocks.drop("pairs").join(answers, "block", "left").mapInArrow(trimmed(run), ", ".join(f"{c} {'string' if c == 'groups_sha256' else 'long'}" for c in _OUT))
@@ -251,9 +273,9 @@ def groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for rows, batch in by_bytes(batches, max_bytes=CHUNK_BYTES):
             out: list[tuple] = []
             for i, text in zip(rows.column("doc_id").to_pylist(), batch):
-                units = one.units(one.cut(text))
-                if all(u.good for u in units):
-                    found = [g.split("|") for u in units for g in u.text.split(";")]
+                units = list(one.units(one.cut(text)))
+                if all(n >= 0 for _, _, n, _, _ in units):
+                    found = [g.split("|") for *_, made, _ in units for g in made.split(";")]
                     out.extend((i, k, *(list(map(int, x.split(","))) for x in g)) for k, g in enumerate(found))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)], names)

@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from .common import by_bytes, texts, trim, trimmed
 
 SPACE = "▁"
+#: Latin letters, as a class of signs.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 # Fixed values of the model file: kinds of pieces.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
-#: Bytes of the units that a task keeps, with what they encode to.
-TABLE_BYTES = 24 << 20
+#: Bytes of the units that a task keeps since the last turn, with what they encode to; as many of before may stay beside them.
+TABLE_BYTES = 32 << 20
 #: What a table entry takes beside its letters.
-ENTRY_BYTES = 240
+ENTRY_BYTES = 200
 #: Pairs of pieces whose agreement is kept.
 PAIRS = 100_000
 #: Longer units are encoded anew each time.
@@ -65,19 +67,28 @@ def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
 
 
 class _Units(dict):
-    """What units encode to, worked out when first asked for."""
+    """What units encode to, worked out when first asked for. Those asked for lately stay when the table is full."""
 
     def __init__(self, work):
         self.work = work
+        self.before: dict[str, str] = {}
         self.bytes = 0
 
     def __missing__(self, unit: str) -> str:
-        value = self.work(unit)
+        value = self.before.get(unit)
+        if value is None:
+            value = self.work(unit)
         if len(unit) <= LONG:
             self[unit] = value
-            self.bytes += ENTRY_BYTES + 2 * len(unit) + len(value)
+            self.bytes += ENTRY_BYTES + len(unit) + len(value)
         return value
 
+    def turn(self) -> None:
+        """Lets go of what wasn't asked for since the last turn."""
+        self.before = dict(self)
+        self.clear()
+        self.bytes = 0
+
 
 class PieceCodec:
     """Encodes and decodes whole texts with a model file of merge type, with byte fallback and without a table of normalisation."""
@@ -115,18 +126,30 @@ class PieceCodec:
             raise ValueError("the model must add a blank before a text, write blanks as U+2581, and change nothing else")
         #: Whether no piece has a blank after another letter; then nothing merges across the start of a run of blanks.
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", x) for x in self.ids)
+        #: Whether no piece has a Latin letter beside another sign; then nothing merges across such a border.
+        self.fine = self.cuts and not any(re.search(f"[{LATIN}][^{LATIN}{SPACE}]|[^{LATIN}{SPACE}][{LATIN}]", x) for x in self.ids)
+        self.unit = re.compile(f" *(?:[{LATIN}]+|[^{LATIN} ]+)| +" if self.fine else " +[^ ]*")
         self.longest = ahocorasick.Automaton()
         for x in self.ids:
             self.longest.add_word(x, len(x))
         self.longest.make_automaton()
         self.raw_of = [bytes([self.byte_of[i]]) if i in self.byte_of else x.replace(SPACE, " ").encode() for i, x in enumerate(self.text)]
+        self.names = list(map(str, range(len(self.text))))
         self.traces: dict[str, tuple | None] = {}
         self.agree: dict[tuple[str, str], bool] = {}
         self.shorter: dict[str, str | None] = {}
-        self.units = _Units(lambda unit: ",".join(map(str, self.encode_unit(unit))))
-        self.back: dict[str, str] = {}
+        self.units = _Units(self._learn)
+        self.back: dict[str, str] = {}  # units that decode to something else than themselves
         trim()
 
+    def _learn(self, unit: str) -> str:
+        ids = self.encode_unit(unit)
+        back = self.raw(ids).decode("utf-8", "replace")
+        if back != unit:
+            self.back[unit] = back
+        names = self.names
+        return ",".join([names[i] for i in ids])
+
     def trace(self, token: str) -> tuple | None:
         """How a piece's own letters merge: the scores of the merges in order, and the right and left end symbol before each and at the end; None if they don't merge to the piece."""
         if token not in self.traces:
@@ -166,9 +189,8 @@ class PieceCodec:
 
     def _shorter(self, token: str) -> str | None:
         """The next shorter piece that a piece starts with; a single letter counts as one."""
-        if token not in self.shorter:
-            self.shorter[token] = next((token[:k] for k in range(len(token) - 1, 0, -1) if k == 1 or token[:k] in self.ids), None)
-        return self.shorter[token]
+        found = self.shorter[token] = next((token[:k] for k in range(len(token) - 1, 0, -1) if k == 1 or token[:k] in self.ids), None)
+        return found
 
     def split(self, s: str) -> list[str]:
         """The pieces of a text with its blanks written as U+2581; letters that no piece has stand for themselves."""
@@ -177,43 +199,40 @@ class PieceCodec:
         for end, k in self.longest.iter(s):
             size[end - k + 1] = k  # later ends are longer
         alive = bytearray(b"\xff") * (n // 8 + 1)
-        agree = self.agree
+        agree, shorter = self.agree, self.shorter
         tokens: list[str] = []
-        at = 0
+        at, last = 0, ""
         token = s[: size[0]] if n else ""
-        last = ""
         while at < n:
             end = at + len(token)
-            good = agree.get((last, token))
-            if good is None:
-                if len(agree) >= PAIRS:
-                    agree.clear()
-                good = agree[last, token] = self.trace(token) is not None and (not last or self.compatible(last, token))
-            if good and alive[end >> 3] >> (end & 7) & 1:
-                tokens.append(token)
-                at, last = end, token
-                if at < n:
-                    token = s[at : at + size[at]]
-                continue
-            token = self._shorter(token)
+            if alive[end >> 3] >> (end & 7) & 1:
+                good = agree.get((last, token))
+                if good is None:
+                    if len(agree) >= PAIRS:
+                        agree.clear()
+                    good = agree[last, token] = self.trace(token) is not None and (not last or self.compatible(last, token))
+                if good:
+                    tokens.append(token)
+                    at, last = end, token
+                    if at < n:
+                        token = s[at : at + size[at]]
+                    continue
+            token = shorter[token] if token in shorter else self._shorter(token)
             while token is None:
                 alive[at >> 3] &= ~(1 << (at & 7))
-                before = tokens.pop()
-                at -= len(before)
+                last = tokens.pop()
+                at -= len(last)
+                token = shorter[last] if last in shorter else self._shorter(last)
                 last = tokens[-1] if tokens else ""
-                token = self._shorter(before)
         return tokens
 
     def encode_unit(self, unit: str) -> list[int]:
         """Token ids of a unit."""
-        out: list[int] = []
-        for token in self.split(unit.replace(" ", SPACE)):
-            i = self.ids.get(token)
-            if i is None:
-                out.extend(self.byte_ids[b] for b in token.encode())
-            else:
-                out.append(i)
-        return out
+        tokens = self.split(unit.replace(" ", SPACE))
+        try:
+            return [self.ids[t] for t in tokens]
+        except KeyError:
+            return [i for t in tokens for i in ([self.ids[t]] if t in self.ids else [self.byte_ids[b] for b in t.encode()])]
 
     def raw(self, ids: list[int]) -> bytes:
         """What token ids stand for, U+2581 as a blank."""
@@ -228,30 +247,22 @@ class PieceCodec:
         if not text:
             return []
         s = " " + text.replace(SPACE, " ")
-        return re.findall(" +[^ ]*", s) if self.cuts else [s]
+        return self.unit.findall(s) if self.cuts else [s]
 
     def run(self, batch: list[str]) -> list[tuple[str, int, str]]:
         """(ids joined by commas, their number, decoded text) of each text."""
         out = []
         for text in batch:
             if self.units.bytes > TABLE_BYTES:
-                self.units.clear()
+                self.units.turn()
+            if len(self.back) > PAIRS:
                 self.back.clear()
-                self.units.bytes = 0
+                self.units.turn()
+                self.units.before = {}
             units = self.cut(text)
-            found = list(map(self.units.__getitem__, units))
-            back = self.back
-            decoded = []
-            for unit, ids in zip(units, found):
-                if unit not in back:
-                    now = self.raw(list(map(int, ids.split(",")))).decode("utf-8", "replace")
-                    if len(unit) > LONG:
-                        decoded.append(now)
-                        continue
-                    back[unit] = unit if now == unit else now
-                decoded.append(back[unit])
-            ids = ",".join(found)
-            out.append((ids, ids.count(",") + 1 if ids else 0, "".join(decoded).removeprefix(" ")))
+            ids = ",".join(map(self.units.__getitem__, units))
+            back = "".join([self.back.get(u, u) for u in units] if self.back else units)
+            out.append((ids, ids.count(",") + 1 if ids else 0, back.removeprefix(" ")))
         return out
 
 

@@ -24,11 +24,13 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 
-from .bpe import Codec
+from .bpe import PIECES, Codec
 from .common import by_bytes, packed, stored, texts, trim, trimmed, unpacked
 from .piece_bpe import LATIN, PieceCodec
 
@@ -36,8 +38,6 @@ CHUNK_BYTES = 1 << 18
 #: Text in a block, and what a block's units may take, about.
 BLOCK_BYTES = 16 << 20
 UNIT_BYTES = 48 << 20
-#: Pieces of A that a task keeps.
-PIECES = 100_000
 #: Between anything but a blank and a blank before something that is no white space; and between a letter and a sign.
 CUT = re.compile(r"(?<=[^ ])(?= \S)")
 FINE = re.compile(rf"(?<=[{LATIN}])(?=[^\w\s])")
@@ -60,38 +60,31 @@ def cut_groups(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
     return [(bisect_right(a_ends, e), bisect_right(b_ends, e)) for e in sorted(set(a_ends).intersection(b_ends))]
 
 
+#: Ends a model file so that no blank is added before a text: the field of normalisation (3) with its third member set to 0, which takes the place of what stood there.
+NO_BLANK = b"\x1a\x02\x18\x00"
+
+
 class Aligner:
-    """Aligns texts, remembering units."""
+    """Aligns texts. The tokens of a unit come from the tokenizers' libraries; ``bpe`` and ``piece_bpe`` know the files and what tokens stand for."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = Codec(path_a), PieceCodec(path_b)
-        self.a_sizes = np.diff(self.a.cut).tolist()
-        self.b_sizes = list(map(len, self.b.raw_of))
+        a, self.b = Codec(path_a), PieceCodec(path_b)
+        if (np.diff(a.made[:, 2]) <= 0).any():
+            raise ValueError("the ids of A's merges must stand in the order of their ranks")
+        self.raw_a = [a.raw(i) for i in range(len(a.cut) - 1)]
+        ranks = {x: i for i, x in enumerate(self.raw_a) if x and i not in a.special.values()}
+        self.encode_a = tiktoken.Encoding("a", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        with open(path_b, "rb") as f:
+            self.encode_b = SentencePieceProcessor(model_proto=f.read() + NO_BLANK).encode
+        self.a_sizes, self.b_sizes = list(map(len, self.raw_a)), list(map(len, self.b.raw_of))
         self.names = list(map(str, range(max(len(self.a_sizes), len(self.b_sizes)))))
-        self.pieces: dict[str, list[int]] = {}
-
-    def encode_a(self, units: list[str]) -> list[list[int]]:
-        findall, pieces = self.a.pieces.findall, self.pieces
-        cut = [[u] if u[1:].isalpha() and (u[0] == " " or u[0].isalpha()) else findall(u) for u in units]
-        new = list({x for found in cut for x in found if x not in pieces})
-        at = 0
-        while at < len(new):
-            part, size = [], 0
-            while at < len(new) and size < CHUNK_BYTES:
-                part.append(new[at])
-                size += len(new[at])
-                at += 1
-            pieces.update(zip(part, self.a.encode_pieces(part)))
-        out = [pieces[found[0]] if len(found) == 1 else [i for x in found for i in pieces[x]] for found in cut]
-        if len(pieces) > PIECES or sum(map(len, new)) > CHUNK_BYTES:
-            pieces.clear()
-        return out
+        trim()
 
     def units(self, new: list[str]) -> Iterator[tuple[int, int, int, str, list[int]]]:
         """Of each unit: its numbers of A tokens, B tokens and groups, the groups as text, and its links (A id and B id in one number). A unit whose bytes one side doesn't give back has -1 groups."""
         a_sizes, b_sizes, names = self.a_sizes, self.b_sizes, self.names
-        for unit, a in zip(new, self.encode_a(new)):
-            b = self.b.encode_unit(unit)
+        for unit, b in zip(new, self.encode_b(new, num_threads=1)):
+            a = self.encode_a(unit)
             a_ends = list(accumulate([a_sizes[i] for i in a]))
             b_ends = list(accumulate([b_sizes[i] for i in b]))
             n = len(unit) if unit.isascii() else len(unit.encode())

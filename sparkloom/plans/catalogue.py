@@ -38,9 +38,9 @@ add("join_full", "SELECT c.c_custkey, s.s_suppkey FROM customer c FULL OUTER JOI
 add("join_left", "SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 add("join_semi", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
 add("join_anti", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
-add(  # the null test apart, so that the rest is an anti join by key and no subquery is broadcast whole
+add(  # the null tests apart, so that the rest is an anti join by key and no subquery is broadcast whole; a null key is in no empty set
     "join_not_in",
-    "SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 200000 AND o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 200000 AND o_custkey IS NULL)",
+    "SELECT c_custkey FROM customer WHERE (c_custkey IS NOT NULL OR (SELECT count(*) FROM (SELECT 1 FROM orders WHERE o_totalprice > 200000 LIMIT 1)) = 0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 200000 AND o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 200000 AND o_custkey IS NULL)",
     "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
 )
 add("join_scalar_subquery", "SELECT round(sum(l_extendedprice), 2) AS total FROM lineitem l JOIN part ON p_partkey = l_partkey WHERE l_quantity < (SELECT 0.5 * avg(l_quantity) FROM lineitem x WHERE x.l_partkey = p_partkey)")

@@ -44,12 +44,12 @@ def shipping_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import catalogue, derived, wider  # noqa: F401  register the rest
+    from . import catalogue, deeper, derived, wider  # noqa: F401  register the rest
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalogue, derived, wider  # noqa: F401
+    from . import catalogue, deeper, derived, wider  # noqa: F401
 
     return dict(_oracles)

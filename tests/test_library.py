@@ -140,7 +140,7 @@ def test_stream_goes_on_where_it_ended(spark):
 
 
 def test_not_in_with_nulls(spark):
-    """A null among the excluded keys lets nothing through; keys themselves aren't null."""
+    """A null among the excluded keys lets nothing through; a null key comes through only where no key is excluded."""
     from sparkloom.plans import registry
 
     path = fresh_path(spark, "tables")
@@ -152,3 +152,9 @@ def test_not_in_with_nulls(spark):
     orders.unionByName(spark.createDataFrame([(None, 900000.0)], orders.schema)).write.parquet(f"{path}/more/orders.parquet")
     spark.read.parquet(f"{path}/customer.parquet").write.parquet(f"{path}/more/customer.parquet")
     assert run(spark, f"{path}/more").collect() == []
+    with_null = spark.createDataFrame([(1,), (None,)], "c_custkey long")
+    for at, some in (("none", orders.where("o_totalprice < 100000")), ("some", orders)):
+        with_null.write.parquet(f"{path}/{at}/customer.parquet")
+        some.write.parquet(f"{path}/{at}/orders.parquet")
+    assert {r.c_custkey for r in run(spark, f"{path}/none").collect()} == {1, None}
+    assert run(spark, f"{path}/some").collect() == []

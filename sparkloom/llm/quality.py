@@ -17,6 +17,7 @@ from .common import texts
 SAMPLE = 20_000
 TREES = 40
 DEPTH = 3
+LEAF = 10
 PENALTY = 0.002
 
 LETTERS_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -64,14 +65,14 @@ def accepted(docs: DataFrame, labels: DataFrame, model=None) -> DataFrame:
     return _prepared(rows, F.struct("*").alias("__row")).select("__row", *_statistics()).where(compiled(model) >= 0.5).select("__row.*")
 
 
-def _tree(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int) -> list[tuple[tuple, ...]]:
-    """Paths of a gradient tree; each is a tuple of (feature, is_above, threshold)."""
+def _tree(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, least: int) -> list[tuple[tuple, ...]]:
+    """Paths of a gradient tree; each is a tuple of (feature, is_above, threshold). A cut leaves over ``least`` rows on both sides, of four times as many at least."""
     paths = []
 
     def grow(at, path):
         if path:
             paths.append(path)
-        if len(path) == depth or len(at) < 40:
+        if len(path) == depth or len(at) < 4 * least:
             return
         g, h = grad[at], hess[at]
         base = g.sum() ** 2 / (h.sum() + 1)
@@ -82,7 +83,7 @@ def _tree(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int) -> list
             gl, hl = np.cumsum(g[order])[:-1], np.cumsum(h[order])[:-1]
             gain = gl**2 / (hl + 1) + (g.sum() - gl) ** 2 / (h.sum() - hl + 1) - base
             gain[(v[1:] == v[:-1])] = -1
-            gain[:10] = gain[-10:] = -1
+            gain[:least] = gain[-least:] = -1
             i = int(gain.argmax())
             if gain[i] > best[0]:
                 best = (gain[i], f, float((v[i] + v[i + 1]) / 2))
@@ -103,20 +104,23 @@ def _matches(x: np.ndarray, rule) -> np.ndarray:
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 9) -> tuple[float, list[tuple[float, tuple]]]:
-    """Intercept, and weighted rules. Without both labels: the (smoothed) share of label 1 and no rules."""
+    """Intercept, and weighted rules. Without both labels: the (smoothed) share of label 1 and no rules. A cut leaves over LEAF rows on both sides, or over an eighth of all where there are few."""
     share = (y.sum() + 1) / (len(y) + 2)
     start = float(np.log(share / (1 - share)))
-    if len(np.unique(y)) < 2 or len(y) < 80:
+    if len(np.unique(y)) < 2:
         return start, []
+    least = max(1, min(LEAF, len(y) // 8))
     rng = np.random.default_rng(seed)
     score, rules = np.full(len(y), start), {}
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
         at = rng.random(len(y)) < 0.5
-        for rule in _tree(x[at], (y - p)[at], (p * (1 - p))[at], int(rng.integers(1, DEPTH + 1))):
+        for rule in _tree(x[at], (y - p)[at], (p * (1 - p))[at], int(rng.integers(1, DEPTH + 1)), least):
             rules[rule] = True
             hit = _matches(x, rule)
             score[hit] += 0.1 * (y - p)[hit].sum() / ((p * (1 - p))[hit].sum() + 1)
+    if not rules:  # statistics that don't vary
+        return start, []
     rules = list(rules)
     z = np.stack([_matches(x, r) for r in rules], 1).astype(float)
     _, one = np.unique(z, axis=1, return_index=True)

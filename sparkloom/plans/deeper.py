@@ -305,3 +305,64 @@ add(
     "SELECT p_partkey, kind FROM part JOIN (SELECT DISTINCT p_type AS kind FROM part) ON collate(kind, 'UTF8_LCASE') = collate(element_at(split(p_name, ' '), 1), 'UTF8_LCASE')",
     "SELECT p_partkey, kind FROM part JOIN (SELECT DISTINCT p_type AS kind FROM part) ON kind COLLATE NOCASE = split_part(p_name, ' ', 1) COLLATE NOCASE",
 )
+
+
+# Rows made for given tables: a calendar without gaps, names for codes.
+@query("""
+WITH d AS (SELECT unnest(generate_series((SELECT min(o_orderdate) FROM orders), (SELECT max(o_orderdate) FROM orders), INTERVAL 1 DAY)) AS day)
+SELECT d.day, count(o_orderkey) AS n, (round(sum(o_totalprice) * 100))::BIGINT AS cents FROM d LEFT JOIN orders ON o_orderdate = d.day GROUP BY d.day
+""")
+def generate_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each day from the first to the last, days without any too. Orders are summed by day before days are filled in."""
+    orders = table(spark, sf_dir, "orders")
+    by_day = orders.groupBy(F.col("o_orderdate").alias("day")).agg(F.count("o_orderkey").alias("n"), F.round(F.sum("o_totalprice") * 100).cast("long").alias("cents"))
+    days = orders.agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("z")).select(F.explode(F.sequence("a", "z", F.expr("INTERVAL 1 DAY"))).alias("day"))
+    return days.join(by_day, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"), "cents")
+
+
+add("values_joined", "SELECT o_orderkey, name FROM orders LEFT JOIN VALUES ('O', 'open'), ('F', 'filled'), ('X', NULL) AS v(code, name) ON o_orderstatus = code", "SELECT o_orderkey, name FROM orders LEFT JOIN (VALUES ('O', 'open'), ('F', 'filled'), ('X', NULL)) AS v(code, name) ON o_orderstatus = code")
+# Further scalar functions.
+add(
+    "scalar_map_zip",
+    """
+    SELECT conv_id, array_join(transform(array_sort(map_entries(map_zip_with(a, b, (k, x, y) -> coalesce(x, 0) * 1000 + coalesce(y, 0)))), e -> concat(e.key, '=', e.value)), ',') AS both
+    FROM (SELECT conv_id, map_from_entries(collect_list(struct(role, n)) FILTER (WHERE early > 0)) AS a, map_from_entries(collect_list(struct(role, m)) FILTER (WHERE m > 0)) AS b FROM (
+      SELECT conv_id, role, count(*) FILTER (WHERE turn < 3) AS n, count(*) FILTER (WHERE turn >= 3) AS m, count(*) FILTER (WHERE turn < 3) AS early FROM conversations GROUP BY conv_id, role) GROUP BY conv_id)
+    """,
+    "SELECT conv_id, string_agg(role || '=' || (n * 1000 + m), ',' ORDER BY role) AS both FROM (SELECT conv_id, role, count(*) FILTER (WHERE turn < 3) AS n, count(*) FILTER (WHERE turn >= 3) AS m FROM conversations GROUP BY conv_id, role) GROUP BY conv_id",
+)
+add(
+    "scalar_times",
+    "SELECT o_orderkey, o_orderdate + make_interval(0, 1, 1, 2, 3) AS later, try_to_timestamp(concat(cast(to_date(o_orderdate) AS STRING), if(o_orderkey % 2 = 0, ' 10:30:00', ' 99:99:99'))) IS NULL AS bad, date_diff(DAY, timestamp_ntz'1990-01-01 00:00:00', o_orderdate) AS days FROM orders",
+    "SELECT o_orderkey, o_orderdate + INTERVAL 1 MONTH + INTERVAL 9 DAYS + INTERVAL 3 HOURS AS later, try_strptime(strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 2 = 0 THEN ' 10:30:00' ELSE ' 99:99:99' END, '%Y-%m-%d %H:%M:%S') IS NULL AS bad, date_diff('day', TIMESTAMP '1990-01-01', o_orderdate) AS days FROM orders",
+)
+add(
+    "scalar_soundex",
+    "SELECT word, soundex(word) AS s FROM (SELECT DISTINCT explode(split(lower(p_name), ' ')) AS word FROM part)",
+    # a letter of the same class as the one before it, or with h and w between them only, is left out, and so are vowels after the first
+    """
+    WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part),
+    c AS (SELECT word, translate(regexp_replace(word, '(.)[hw]+', '\\1', 'g'), 'aeiouybfpvcgjkqsxzdtlmnrhw', '00000011112222222233455600') AS code FROM w),
+    d AS (SELECT word, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(code, '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g'), '0+', '0', 'g') AS code FROM c)
+    SELECT word, upper(word[1]) || rpad(left(replace(code[2:], '0', ''), 3), 3, '0') AS s FROM d
+    """,
+)
+
+
+@query("""
+WITH e AS (SELECT *, event_id % 4 AS batch, time_bucket(INTERVAL 1 HOUR, ts) AS start FROM events),
+m AS (SELECT b, (SELECT max(ts) FROM e WHERE batch <= b - 2) - INTERVAL 1 HOUR AS mark FROM generate_series(0, 3) t(b))
+SELECT start, count(*) AS n FROM e JOIN m ON b = batch
+WHERE (mark IS NULL OR start + INTERVAL 1 HOUR > mark) AND start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM e) - INTERVAL 1 HOUR
+GROUP BY start
+""")
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in four batches that each go over all of time: what comes after the watermark of the batch before the last is late, and not counted."""
+    events, rows = table(spark, sf_dir, "events"), fresh_path(spark, "events")
+    for batch in range(4):
+        files.write(events.where(F.col("event_id") % 4 == batch).coalesce(1), rows, mode="append")
+        time.sleep(0.05)  # files are taken in the order of their times
+    late = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(rows)
+    late = late.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", streams.DELAY)
+    counts = late.groupBy(F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n"))
+    return streams.appended(counts.select(streams.wall("window.start").alias("start"), "n"))

@@ -2,28 +2,34 @@
 
 Shards are the leaves of a coarse KD-tree, fitted on a bounded sample (median splits of
 the widest dimension); every vector is dealt to its leaf, and each leaf's box is made
-tight over all its vectors. A leaf with more than SHARD vectors is dealt on by a hash,
-queries by blocks of BLOCK, so a task holds one (block, shard) cell at most.
+tight over all its vectors. A leaf with more than SHARD vectors is dealt on by a hash.
+Each shard's own tree is built once and stored as a row.
 
 Queries visit leaves best first by their upper bound over the leaf's box, in rounds:
 first the best one, then some more, then all the rest; a leaf whose bound lies under the
-k-th score so far is never visited. Inside a cell the same is done over the shard's own
-tree, down from the k-th score that came along.
+k-th score so far is never visited. In a round only the trees that some query still wants
+are sent out, once for each BLOCK queries that want them; a task holds one tree, and
+queries stream past it. Inside a tree the same is done over its nodes, down from the k-th
+score that came along.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored, trim
 
 SHARD = 16_384
-BLOCK = 16_384
+#: Queries that a task passes by one tree.
+BLOCK = 262_144
 LEAF = 256
 #: Leaves of the coarse tree: one for each SHARD vectors, but so many at least and at most.
 FEWEST, MOST = 8, 1024
@@ -185,19 +191,51 @@ def _next_leaves(low: np.ndarray, high: np.ndarray, dim: int, done: int, upto: i
     return run
 
 
-def _cell(k: int):
-    schema = "query_id long, vec_id long, score long"
+_CELL = ["dim", "leaf", "part"]
+
+
+def _built(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
+    """A shard's tree as a row; components are whole numbers, kept as small as they fit."""
+    tree = Tree(np.stack(points["v"].to_numpy()), points["vec_id"].to_numpy())
+    if np.abs(tree.x).max(initial=0) < 2**31:
+        tree.x = tree.x.astype(np.int16 if np.abs(tree.x).max(initial=0) < 2**15 else np.int32)
+    out = pd.DataFrame({"dim": [key[0]], "leaf": [key[1]], "part": [key[2]], "tree": [pickle.dumps(tree, protocol=5)]})
+    del tree, points
+    trim()
+    return out
+
+
+def _searched(k: int):
+    """For mapInArrow over cells in order, each with its tree first and then its queries: the best k of each query in that tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            ids, least = batch.column("vec_id").to_pylist(), batch.column("least").to_pylist()
+            trees, vectors = batch.column("tree"), batch.column("v")
+            for row, own in enumerate(ids):
+                if own is None:
+                    tree = pickle.loads(trees[row].as_buffer())
+                    tree.x = tree.x.astype(np.float64)
+                    continue
+                q = vectors[row].values.to_numpy()
+                out += [(own, j, -int(s)) for s, j in tree.search(q, own, k, -np.inf if least[row] is None else least[row])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["query_id", "vec_id", "score"])
+        trim()
+
+    return run
 
-    def run(key: tuple, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(points) and len(queries):
-            tree = Tree(np.stack(points["v"].to_numpy()), points["vec_id"].to_numpy())
-            for i, q, least in zip(queries["vec_id"], queries["v"], queries["least"]):
-                least = -np.inf if least is None or np.isnan(least) else float(least)
-                out += [(i, j, -int(s)) for s, j in tree.search(np.asarray(q, np.float64), i, k, least)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    return run, schema
+def _visited(going: DataFrame, trees: DataFrame, k: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(query_id, vec_id, score) of the best k in each tree that a query goes to; and the trees that are sent out, a row for each time."""
+    wanted = going.groupBy(*_CELL).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    sent = trees.join(wanted, _CELL).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asking = going.join(wanted, _CELL).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+    both = sent.withColumn("kind", F.lit(0)).unionByName(asking.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    dealt = both.repartition(*_CELL, "block").sortWithinPartitions(*_CELL, "block", "kind")
+    return dealt.select("tree", "vec_id", "v", "least").mapInArrow(_searched(k), "query_id long, vec_id long, score long"), sent
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -206,7 +244,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("query_id").agg(top.alias("top"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products over all other vectors of its length.
 
     ``vectors`` and ``queries`` have vec_id and embedding. Ties go to the smaller
@@ -232,14 +270,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD
     for r in merged.collect():
         low[r.leaf], high[r.leaf] = r.low, r.high
     # a leaf is dealt on where it holds too many
-    parts = routed.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("parts"))
-    parts = stored(parts)
-    placed = routed.join(parts, ["dim", "leaf"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    cell = ["dim", "leaf", "part", "block"]
-    run, schema = _cell(k)
+    parts = stored(routed.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("parts")))
+    placed = routed.join(parts, ["dim", "leaf"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    trees = stored(placed.select(*_CELL, "vec_id", "v").groupBy(*_CELL).applyInPandas(_built, "dim int, leaf int, part int, tree binary"))
+    spent = [points, routed]
     found = None
     for done, upto in zip((0, *VISITS), (*VISITS, None)):
         if done and done >= tree.leaves:
@@ -248,9 +282,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD
         if found is not None:
             kth = _best(found, k).where(F.size("top") == k).select(F.col("query_id").alias("vec_id"), (-F.element_at("top", k)["worse"]).cast("double").alias("least"))
             now = asked.join(kth, "vec_id", "left")
-        going = now.mapInPandas(_next_leaves(low, high, dim, done, upto), "vec_id long, v array<double>, dim int, block int, least double, leaf int")
+        going = now.mapInPandas(_next_leaves(low, high, dim, done, upto), "vec_id long, v array<double>, dim int, least double, leaf int")
         going = going.join(parts, ["dim", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        more = stored(going.groupBy(*cell).cogroup(placed.groupBy(*cell)).applyInPandas(run, schema))
+        going = stored(going)
+        more = stored(_visited(going, trees, k, block)[0])
+        forget(going)
         found = more if found is None else found.unionByName(more)
+    forget(*spent, trees, parts, asked)
     ranked = _best(found, k).select("query_id", F.posexplode("top").alias("rank", "t"))
     return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "t.vec_id", (-F.col("t.worse")).cast("long").alias("score"))

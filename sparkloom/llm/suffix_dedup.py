@@ -392,7 +392,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out)], ["__row", "__text"])
 
     cut = _with_spans(docs, length, gram).dropDuplicates(["row"]).select("row", "text", "spans").mapInArrow(trimmed(run), "__row long, __text string")
-    rest = docs.where("doc_id is not null").select(*docs.columns, F.xxhash64(F.col("doc_id").cast("long"), "text").alias("__own")).drop("text")
+    # all that goes along is one struct, so that no name of a column clashes with ours
+    rest = docs.where("doc_id is not null").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("__rest"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("__own"))
     both = rest.join(cut, rest["__own"] == cut["__row"])
     cols = {"text": F.col("__text"), "n_chars": F.length("__text").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return both.select(*(cols[c].alias(c) if c in cols else rest[c] for c in docs.columns))
+    return both.select(*(cols[c].alias(c) if c in cols else F.col("__rest").getField(c).alias(c) for c in docs.columns))

@@ -189,6 +189,9 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
 
 
+#: Where the numbers of a shard's trigrams end.
+KEYS = 2**63
+
 _COUNTS = "kind int, shard int, data binary, heads binary, total binary, names binary, asked binary, pairs binary, pair_times binary, contexts binary, context_total binary, grams binary, gram_times binary"
 
 
@@ -203,35 +206,43 @@ def _counts(order: int):
         none = [np.zeros(0, U64)]
         all_heads, all_names = np.unique(np.concatenate(heads or none)), np.unique(np.concatenate(names or none))
         n = max(len(all_names), 1)
-        keys, times = [], []
+        narrow = len(all_heads) * n * n < KEYS  # else a gram doesn't fit one number, and is sorted as two
+        keys, words_, times = [], [], []
         for hs, ns, runs, before, word, rest in zip(heads, names, m["runs"], m["before"], m["word"], m["rest"]):
             to = np.searchsorted(all_names, ns)
             ctx = np.repeat(np.searchsorted(all_heads, hs), unpacked(runs, np.uint32)) * n + to[_unindexed(before, len(ns))]
-            keys.append(ctx * n + to[_unindexed(word, len(ns))])
+            keys.append(ctx * n + to[_unindexed(word, len(ns))] if narrow else ctx)
+            if not narrow:
+                words_.append(to[_unindexed(word, len(ns))])
             times.append(unpacked(rest, np.uint32))
         del m, messages, heads, names
         keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        words_ = np.concatenate(words_) if words_ else np.zeros(0, np.int64)
         times = np.concatenate(times) if times else np.zeros(0, np.uint32)
         # one sort serves all orders: the head leads, then the word before it
-        by = np.argsort(keys)
+        by = np.argsort(keys) if narrow else np.lexsort((words_, keys))
         keys, times = keys[by], times[by]
-        del by
-        first = _runs(keys)
-        keys, gram_times = keys[first], _sums(times, first)
-        del times, first
-        pairs, at = np.unique(keys // (n * n) * n + keys % n, return_inverse=True)
+        if narrow:
+            first = _runs(keys)
+            ctx, word_ = keys[first] // n, keys[first] % n
+        else:
+            words_ = words_[by]
+            first = np.union1d(_runs(keys), _runs(words_))
+            ctx, word_ = keys[first], words_[first]
+        gram_times = _sums(times, first)
+        del times, first, by, keys, words_
+        pairs, at = np.unique(ctx // n * n + word_, return_inverse=True)
         pair_times = np.bincount(at, gram_times, len(pairs)).astype(np.int64)
         del at
         total = np.bincount(pairs // n, pair_times, len(all_heads)).astype(np.int64)
         if order > 2:
-            ctx = keys // n
             first = _runs(ctx)
             contexts, context_total = ctx[first], _sums(gram_times, first)
-            grams = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(ctx)))) * n + keys % n
-            del ctx, first
+            grams = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(ctx)))) * n + word_
+            del first
         else:
             contexts = context_total = grams = gram_times = np.zeros(0, np.int64)
-        del keys
+        del ctx, word_
         real = all_heads != START
         one = total[real]
         stats = [int(one.sum()), int(real.sum()), int(total[~real].sum())]

@@ -241,7 +241,10 @@ def katz_by_hand(w, held, cut=5):
 
 
 @pytest.mark.parametrize("order", [3, 2])
-def test_katz(spark, texts, order, monkeypatch):
+@pytest.mark.parametrize("keys", [2**63, 1000])
+def test_katz(spark, texts, order, keys, monkeypatch):
+    """With a small KEYS, trigrams are sorted as two numbers, as where a shard's vocabulary is too large for one."""
+    monkeypatch.setattr(katz, "KEYS", keys)
     monkeypatch.setattr(katz, "SHARD_BYTES", 3000)
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 700)
     monkeypatch.setattr(katz, "SLICE", 50)

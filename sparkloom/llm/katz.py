@@ -41,7 +41,7 @@ CUT = 5
 #: A block ends at about so many tokens, or this many texts.
 BLOCK_TOKENS, BLOCK_TEXTS = 1_500_000, 30_000
 #: Text for each shard: larger ones repeat fewer words in messages and tables, smaller ones take less memory.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 10 << 20
 #: Trigrams whose weights are worked out at a time.
 SLICE = 1_000_000
 #: Texts are scored in so many rounds, by a hash of doc_id: the messages of one are there at a time.

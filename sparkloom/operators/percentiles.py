@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.sources.shared import stored
+from sparkloom.sources.shared import forget, stored
 
 #: Values that cut a bracket, and over how many rows a task's rows of a bracket are dealt.
 GRID = 64
@@ -36,6 +36,7 @@ def exact_percentiles(df: DataFrame, key: list[str], value: str, at: list[float]
     ranks = asked.where("_n > 0").select("_key", F.explode(F.array("_low", F.least(F.col("_low") + 1, F.col("_n") - 1))).alias("_rank")).distinct()
     low, high = F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi")
     open_ = stored(ranks.groupBy("_key").agg(F.collect_list("_rank").alias("_ranks")).select("_key", low, high, F.lit(0).cast("long").alias("_below"), "_ranks"))
+    first = open_
     left = rows.where("_v is not null").select("_key", low, high, "_v")
     found = []
     bracket = ["_key", "_lo", "_hi"]
@@ -59,8 +60,10 @@ def exact_percentiles(df: DataFrame, key: list[str], value: str, at: list[float]
         inside = (F.col("_v") > F.coalesce("_low", F.lit(float("-inf")))) | F.col("_low").isNull() & F.col("_v").isNotNull()
         narrow = gaps.select("_key", F.col("_from").alias("_lo"), F.col("_to").alias("_hi"), F.col("_lo").alias("_low"), F.col("_hi").alias("_high"))
         met = _met(left, narrow, bracket).where(inside & (F.col("_high").isNull() | (F.col("_v") < F.col("_high"))))
+        spent = [edges, left] if open_ is not first else [edges]
         left = stored(met.select("_key", F.col("_low").alias("_lo"), F.col("_high").alias("_hi"), "_v"))
         open_ = gaps.drop("_from", "_to")
+        forget(*spent)
     known = found[0] if found else ranks.select("_key", "_rank", F.lit(0.0).alias("_v")).limit(0)
     for more in found[1:]:
         known = known.unionByName(more)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -52,13 +54,40 @@ def palindromes(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, palindromes long")
 
 
+def _mean(values: np.ndarray) -> float:
+    """A mean to within a few units of its last place, whatever the order of the values."""
+    try:
+        return math.fsum(values.tolist()) / len(values)
+    except (OverflowError, ValueError):  # a sum beyond doubles, or infinities of both signs
+        return float(sum(map(Fraction, values.tolist())) / len(values)) if np.isfinite(values).all() else float("nan")
+
+
+def _above(values: np.ndarray) -> np.ndarray:
+    """Which values are above their mean, rounded once. Not a number is above all, as Spark orders it."""
+    mean = _mean(values)
+    if np.isfinite(mean) and (np.abs(values - mean) <= 4 * np.spacing(abs(mean))).any():  # rounding would decide
+        mean = float(sum(map(Fraction, values.tolist())) / len(values))
+    with np.errstate(invalid="ignore"):
+        apart = values - mean
+    return (apart > 0) | np.isnan(apart)
+
+
 def above_mean(events: DataFrame) -> DataFrame:
-    """(user_id, event_id, above): whether an event's value is above its user's mean. A user's values are held together."""
+    """(user_id, event_id, above): whether an event's value is above its user's mean, null for a null value. A user's values are held together.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(above=rows["value"] - rows["value"].mean() > 0)[["user_id", "event_id", "above"]]
+    The mean is the exact one rounded once, so the order that rows come in, which no
+    shuffle keeps, decides nothing where a value is as large as the mean.
+    """
 
-    return events.select("user_id", "event_id", "value").groupBy("user_id").applyInPandas(run, "user_id long, event_id long, above boolean")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        above = np.full(len(rows), None, object)
+        known = rows["known"].to_numpy()
+        if known.any():
+            above[known] = _above(rows["value"].to_numpy()[known])
+        return rows.assign(above=above)[["user_id", "event_id", "above"]]
+
+    known = F.col("value").isNotNull().alias("known")
+    return events.select("user_id", "event_id", "value", known).groupBy("user_id").applyInPandas(run, "user_id long, event_id long, above boolean")
 
 
 def orders_over(customers: DataFrame, orders: DataFrame, times: float = 10) -> DataFrame:

@@ -103,7 +103,8 @@ def range_frame(df: DataFrame, key: list[str], time: str, preceding: timedelta,
     A row is copied into the buckets that it reaches into, so a size at or over
     ``preceding`` makes two rows of one at most. Rows without a time have those of their
     key as frame, and are one bucket. The frame is looked through for each row; where
-    very many rows share one, sums are better taken by ``range_sums``.
+    very many rows share one, sums are better taken by ``range_sums``, least and greatest
+    values by ``range_extremes``.
     """
     reach, own = _length(preceding), buckets(time, size)
     last = F.floor((micros(time) + reach) / _length(size)).cast("long")
@@ -113,6 +114,35 @@ def range_frame(df: DataFrame, key: list[str], time: str, preceding: timedelta,
     return spread.select("*", *(c.alias(n) for n, c in made.items())).where("_in = _bucket").select(*df.columns, *made)
 
 
+def range_extremes(df: DataFrame, key: list[str], time: str, preceding: timedelta, *, least: dict | None = None, most: dict | None = None) -> DataFrame:
+    """df with least and greatest values of columns, by name, over ``RANGE BETWEEN preceding PRECEDING AND CURRENT ROW`` along a time, in time that doesn't depend on how many rows share a frame.
+
+    Buckets are as long as a frame, so a frame is the end of one bucket and the start of
+    the next, and each is a running aggregate, one of them backwards. A row is first
+    looked up in the bucket in which its frame begins, then goes through its own. The
+    least and most of nothing but nulls is null; rows without a time have those of their
+    key as frame.
+    """
+    reach = _length(preceding)
+    named = [(n, c, f, g) for kind, f, g in ((least or {}, F.min, F.least), (most or {}, F.max, F.greatest)) for n, c in kind.items()]
+    values = [F.col(c).alias(f"_v_{n}") for n, c, _, _ in named]
+    bucket = lambda at: F.floor(at / max(reach, 1)).cast("long").alias("_bucket")
+    made = _cut(df, key, F.lit(0)).select("_key", micros(time).alias("_at"), F.struct(*df.columns).alias("_row"), *values)
+    timed = made.where("_at is not null")
+    nothing = {n: F.lit(None).cast(made.schema[n].dataType) for n in ("_row", *(f"_v_{n}" for n, *_ in named))}
+    there = timed.select("_key", "_at", bucket(F.col("_at")), nothing["_row"].alias("_row"), *(f"_v_{n}" for n, *_ in named), F.lit(None).cast("long").alias("_to"))
+    begins = timed.select("_key", (F.col("_at") - reach).alias("_at"), bucket(F.col("_at") - reach), "_row", *(nothing[f"_v_{n}"].alias(f"_v_{n}") for n, *_ in named), F.col("_at").alias("_to"))
+    since = Window.partitionBy("_key", "_bucket").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
+    first = there.unionByName(begins).withColumns({f"_e_{n}": f(f"_v_{n}").over(since) for n, _, f, _ in named}).where("_to is not null")
+    first = first.select("_key", F.col("_to").alias("_at"), bucket(F.col("_to")), "_row", *(f"_e_{n}" for n, *_ in named), *(F.lit(None).cast(made.schema[f"_v_{n}"].dataType).alias(f"_v_{n}") for n, *_ in named))
+    until = Window.partitionBy("_key", "_bucket").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    both = first.unionByName(there.drop("_row", "_to"), allowMissingColumns=True).withColumns({f"_s_{n}": f(f"_v_{n}").over(until) for n, _, f, _ in named}).where("_row is not null")
+    out = both.select("_row", *(g(f"_e_{n}", f"_s_{n}").alias(f"_x_{n}") for n, _, _, g in named))
+    without = made.where("_at is null")
+    untimed = without.select("_key", "_row").join(without.groupBy("_key").agg(*(f(f"_v_{n}").alias(f"_x_{n}") for n, _, f, _ in named)), "_key").drop("_key")
+    return out.unionByName(untimed).select("_row.*", *(F.col(f"_x_{n}").alias(n) for n, *_ in named))
+
+
 def range_sums(df: DataFrame, key: list[str], time: str, preceding: timedelta, size: timedelta, *, sums: dict | None = None, counts: dict | None = None) -> DataFrame:
     """df with sums and counts, by name, over ``RANGE BETWEEN preceding PRECEDING AND CURRENT ROW`` along a time, in time that doesn't depend on how many rows share a frame.
 

@@ -90,17 +90,31 @@ def above_mean(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_id", "value", known).groupBy("user_id").applyInPandas(run, "user_id long, event_id long, above boolean")
 
 
+#: Customers in a group, about: a call of Python takes longer than a customer's orders do.
+GROUP_ROWS = 5_000
+
+
 def orders_over(customers: DataFrame, orders: DataFrame, times: float = 10) -> DataFrame:
-    """(c_custkey, n): how many orders of a customer cost more than ``times`` the customer's balance, 0 where there are none."""
+    """(c_custkey, n): how many orders of a customer cost more than ``times`` the customer's balance, 0 where there are none.
 
-    def run(c: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        price = np.sort(o["o_totalprice"].to_numpy())
-        n = [len(price) - int(np.searchsorted(price, times * b, "right")) for b in c["c_acctbal"]]
-        return pd.DataFrame({"c_custkey": c["c_custkey"], "n": n})
+    Customers come in groups of about GROUP_ROWS by a hash of their keys. Rows that share a key are one customer, each with a balance of its
+    own, and their numbers are added up; null keys are one customer without orders; null
+    prices and balances meet nothing, and a price that is not a number is above all.
+    """
 
-    left = customers.select("c_custkey", "c_acctbal").groupBy("c_custkey")
-    right = orders.select(F.col("o_custkey").alias("c_custkey"), "o_totalprice").groupBy("c_custkey")
-    return left.cogroup(right).applyInPandas(run, "c_custkey long, n long")
+    def run(c: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        o = o.sort_values(["c_custkey", "o_totalprice"])  # not a number last
+        key, price = o["c_custkey"].to_numpy(), o["o_totalprice"].to_numpy()
+        out = []
+        for k, lo, hi, b in zip(c["c_custkey"], np.searchsorted(key, c["c_custkey"], "left").tolist(), np.searchsorted(key, c["c_custkey"], "right").tolist(), (times * c["c_acctbal"]).tolist()):
+            out.append((k, hi - lo - int(np.searchsorted(price[lo:hi], b, "right"))))
+        return pd.DataFrame(out, columns=["c_custkey", "n"]).groupby("c_custkey", as_index=False)["n"].sum()
+
+    groups = F.pmod(F.xxhash64(F.col("c_custkey")), F.lit(-(-customers.count() // GROUP_ROWS) or 1)).alias("group")
+    left = customers.where("c_custkey IS NOT NULL").select("c_custkey", "c_acctbal", groups).groupBy("group")
+    right = orders.where("o_totalprice IS NOT NULL").select(F.col("o_custkey").cast(customers.schema["c_custkey"].dataType).alias("c_custkey"), "o_totalprice").where("c_custkey IS NOT NULL").select("*", groups).groupBy("group")
+    unknown = customers.where("c_custkey IS NULL").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.lit(0).cast("long").alias("n")).distinct()
+    return left.cogroup(right).applyInPandas(run, "c_custkey long, n long").unionByName(unknown)
 
 
 @F.udtf(returnType="word string, place int")

@@ -5,7 +5,7 @@ neighbours. An index maps each active pair to all its positions; ranks are appli
 ascending order from a heap, each at all its positions, and the lists of the pairs that
 a merge makes are updated. Pieces seen before come from a table of bounded size.
 Vocabulary and merges stand in arrays, and pieces are encoded a slice at a time, so a
-task holds some tens of MB whatever the texts are.
+task holds a bounded amount whatever the texts are.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import by_bytes, texts, trim, trimmed
 # Fixed values of the byte-level pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of the pieces that a task keeps, with their ids and the table's own size.
-TABLE_BYTES = 20 << 20
+TABLE_BYTES = 80 << 20
 #: Bytes of new pieces that are encoded at a time.
 SLICE_BYTES = 1 << 17
 #: Text that is cut into pieces at a time.

@@ -13,12 +13,22 @@ from pyspark.sql import functions as F
 from .common import forget, stored
 
 
-def _star(directed: DataFrame, large: bool) -> DataFrame:
-    least = directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = directed.join(least, "u")
-    if large:
-        return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+def _round(now: DataFrame) -> DataFrame:
+    """A large-star and a small-star step over edges (a, b) with a > b: five exchanges and no broadcast, as the driver keeps threads, plans and task states of each."""
+    both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # repeated edges change no minimum, so they stay until the end
+    large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    down = large.groupBy("u").agg(F.min("v").alias("m"))
+    ends = large.join(down.hint("merge"), "u").select("u", "v", "m").select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
+    return ends.where("a <> b").distinct()
+
+
+def _settled(now: DataFrame) -> bool:
+    """Whether each node has one edge down and none below that: then edges lead to the smallest node of all that are linked."""
+    ends = now.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(now.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    found = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)")
+    return found.agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,17 +36,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Nulls in either end drop the edge; loops and repeats do no harm; no edges give no rows.
     """
-    now = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct()
-    now = stored(now)
-    digest = None
-    while True:
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _star(both, True).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        before, now = now, stored(_star(down, False).where("a <> b").distinct())
+    x, y = F.col(a).cast("long"), F.col(b).cast("long")
+    now = stored(edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
+    while not _settled(now):
+        before, now = now, stored(_round(now))
         forget(before)
-        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(found) == digest:
-            break
-        digest = tuple(found)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

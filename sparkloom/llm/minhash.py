@@ -369,8 +369,7 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     of = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     of = stored(of)
     classes = signed.join(of.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig", F.col("doc_id").alias("component"))
-    links = stored(_confirmed(docs, _candidates(classes, True), k, percent))
-    comp = stored(components(links))
+    comp = stored(components(stored(_confirmed(docs, _candidates(classes, True), k, percent))))
 
     def labelled():
         return classes.drop("component").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "sig", F.coalesce("component", "doc_id").alias("component"))
@@ -378,8 +377,10 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     for more in (lambda: _candidates(labelled(), False), lambda: _rest(docs, labelled(), k, percent)):
         pairs = more()
         if not pairs.isEmpty():
-            links = links.union(stored(_confirmed(docs, pairs, k, percent)))
-            comp = stored(components(links))
+            new = stored(_confirmed(docs, pairs, k, percent))
+            if not new.isEmpty():
+                known = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+                comp = stored(components(known.union(new)))
     rep = signed.select("doc_id", "row", "n_shingles", "s1", "s2").join(of, ["s1", "s2", "n_shingles"], "left").select("doc_id", "row", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     out = rep.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "row", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
